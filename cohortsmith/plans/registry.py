@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import cohort_queries
+from . import cohort_queries, guardrail_queries
 
 QUERIES = {}
 QUERIES.update(cohort_queries.QUERIES)
+QUERIES.update(guardrail_queries.QUERIES)

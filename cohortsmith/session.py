@@ -51,3 +51,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage once a table feeds several branches: a reliable ``checkpoint()`` into the
+    shared ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -34,7 +34,7 @@ def pick(u: str, items) -> str:
     return f"list_extract({lst(items)}, (floor({u} * {len(items)}))::INTEGER + 1)"
 
 
-def cohort_ctes(key_sql: str = "SELECT c_custkey AS patient_key FROM customer", seed: int = SEED) -> str:
+def cohort_ctes(key_sql: str = "SELECT c_custkey AS patient_key FROM customer", seed: int = SEED, prefix: str = "") -> str:
     """CTEs ``ck_u``…``cohort`` producing the same columns as ``generate_cohort``, with the
     arrays also given as joined strings (``comorbidities_str`` …)."""
     prof = ["age", "gender", "region", "risk", "first", "last", "mi_flag", "mi", "suffix_flag", "suffix"]
@@ -78,13 +78,13 @@ def cohort_ctes(key_sql: str = "SELECT c_custkey AS patient_key FROM customer",
     full = ("first_name || coalesce(' ' || middle_initial || '.', '') || ' ' || last_name || "
             "coalesce(', ' || name_suffix, '')")
     return f"""
-ck_keys AS ({key_sql}),
-ck_u AS (SELECT patient_key, {', '.join(cols)} FROM ck_keys),
-ck_p1 AS (SELECT *, printf('P%09d', patient_key) AS patient_id,
+{prefix}ck_keys AS ({key_sql}),
+{prefix}ck_u AS (SELECT patient_key, {', '.join(cols)} FROM {prefix}ck_keys),
+{prefix}ck_p1 AS (SELECT *, printf('P%09d', patient_key) AS patient_id,
     ({K.MIN_AGE} + floor(u_p_age * {span}))::INTEGER AS age,
     CASE WHEN u_p_gender < {dbl(K.FEMALE_PROBABILITY)} THEN 'Female' ELSE 'Male' END AS gender,
-    {pick('u_p_region', K.REGIONS)} AS region FROM ck_u),
-ck_p2 AS (SELECT *,
+    {pick('u_p_region', K.REGIONS)} AS region FROM {prefix}ck_u),
+{prefix}ck_p2 AS (SELECT *,
     CASE WHEN age > {K.RISK_HIGH_AGE} OR u_p_risk < {dbl(K.RISK_HIGH_ROLL)} THEN 'High'
          WHEN age > {K.RISK_MEDIUM_AGE} OR u_p_risk < {dbl(K.RISK_MEDIUM_ROLL)} THEN 'Medium' ELSE 'Low' END AS risk_bucket,
     CASE WHEN gender = 'Female' THEN {pick('u_p_first', K.FIRST_NAMES_FEMALE)}
@@ -92,13 +92,13 @@ ck_p2 AS (SELECT *,
     {surname} AS last_name,
     CASE WHEN u_p_mi_flag < {dbl(K.MIDDLE_INITIAL_PROBABILITY)} THEN chr((65 + floor(u_p_mi * 26))::INTEGER) END AS middle_initial,
     CASE WHEN u_p_suffix_flag < {dbl(K.SUFFIX_PROBABILITY)} THEN {pick('u_p_suffix', K.SUFFIXES)} END AS name_suffix,
-    {has} FROM ck_p1),
-ck_p3 AS (SELECT *, {med_flags} FROM ck_p2),
-ck_p4 AS (SELECT *,
-    m_DrugX AND u_r_x < {thr('has_diabetes', mx['probability'], mx['diabetes_bump'])} AS rx_x FROM ck_p3),
-ck_p5 AS (SELECT *,
-    (NOT rx_x) AND m_DrugY AND u_r_y < {thr('has_diabetes', my['probability'], my['diabetes_bump'])} AS rx_y FROM ck_p4),
-cohort AS (SELECT patient_key, patient_id, first_name, last_name, middle_initial, name_suffix,
+    {has} FROM {prefix}ck_p1),
+{prefix}ck_p3 AS (SELECT *, {med_flags} FROM {prefix}ck_p2),
+{prefix}ck_p4 AS (SELECT *,
+    m_DrugX AND u_r_x < {thr('has_diabetes', mx['probability'], mx['diabetes_bump'])} AS rx_x FROM {prefix}ck_p3),
+{prefix}ck_p5 AS (SELECT *,
+    (NOT rx_x) AND m_DrugY AND u_r_y < {thr('has_diabetes', my['probability'], my['diabetes_bump'])} AS rx_y FROM {prefix}ck_p4),
+{prefix}cohort AS (SELECT patient_key, patient_id, first_name, last_name, middle_initial, name_suffix,
     {full} AS full_name,
     last_name || ', ' || first_name || coalesce(' ' || middle_initial, '') AS sort_key,
     coalesce(nullif(substr(first_name, 1, 1), ''), ' ') || '. ' || coalesce(middle_initial || '. ', '') || last_name AS initials,
@@ -112,11 +112,15 @@ cohort AS (SELECT patient_key, patient_id, first_name, last_name, middle_initial
     CASE WHEN rx_x THEN {sev('u_r_x_severity', mx['severe'], mx['senior_severe_bump'])}
          WHEN rx_y THEN {sev('u_r_y_severity', my['severe'], my['senior_severe_bump'])} END AS reaction_severity,
     {seed}::BIGINT AS seed, (patient_key // {BATCH_SIZE})::BIGINT AS batch_id
-  FROM ck_p5),
-cohort_n AS (SELECT *,
+  FROM {prefix}ck_p5),
+{prefix}cohort_n AS (SELECT *,
     array_to_string(comorbidities, ',') AS comorbidities_str,
     array_to_string(medications, ',') AS medications_str,
-    'Patient ' || full_name || ' is a ' || CAST(age AS VARCHAR) || '-year-old ' || lower(gender) || ' with ' ||
+    {NOTE_SQL} AS note_text
+  FROM {prefix}cohort)"""
+
+
+NOTE_SQL = """'Patient ' || full_name || ' is a ' || CAST(age AS VARCHAR) || '-year-old ' || lower(gender) || ' with ' ||
     CASE WHEN len(comorbidities) = 0 THEN 'no significant comorbidities' ELSE array_to_string(comorbidities, ' and ') END ||
     '. Prescribed medications: ' ||
     CASE WHEN len(medications) = 0 THEN 'no current medications' ELSE array_to_string(medications, ', ') END || '.' ||
@@ -125,8 +129,7 @@ cohort_n AS (SELECT *,
         coalesce(lower(reaction_severity), 'reported') || ' ' || coalesce(reaction_type, 'unknown reaction') || '. ' ||
         reaction_medication || ' was discontinued.' ||
         CASE WHEN reaction_severity = 'Severe' THEN ' Reaction resolved after antihistamine treatment and monitoring.' ELSE '' END
-    ELSE '' END AS note_text
-  FROM cohort)"""
+    ELSE '' END"""
 
 
 def with_cohort(body: str, key_sql: str = "SELECT c_custkey AS patient_key FROM customer", extra_ctes: str = "") -> str:
