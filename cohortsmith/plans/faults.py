@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators.cohort import attach_notes, generate_cohort
 from ..operators.guardrail import patient_records
-from ..session import materialize
+from ..session import materialize, materialized
 from ..sources.tables import read_table
 
 FAULT_NOTE = " Contact on file: SSN %s, phone %s. History of alcohol abuse."
@@ -58,7 +58,8 @@ def fault_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fault_records(spark: SparkSession, sf_dir: str, batch_size: int = 1000) -> DataFrame:
     """One record per order, ``record_ord = o_orderkey`` (unique), patient of ``o_custkey``."""
-    pats = materialize(patient_records(fault_patients(spark, sf_dir)))
+    pats = materialized(spark, f"fault_patients:{sf_dir}") or materialize(
+        patient_records(fault_patients(spark, sf_dir)), name=f"fault_patients:{sf_dir}")
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     pats = pats.withColumnRenamed("record_ord", "patient_key")
     j = orders.join(pats.drop("batch_id"), orders.o_custkey == pats.patient_key, "inner")

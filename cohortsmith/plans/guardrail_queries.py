@@ -10,7 +10,7 @@ from ..functions.names import full_name
 from ..operators import content, distribution, guardrail, names_safety, pii, rules, uniqueness
 from ..operators.cohort import generate_cohort
 from ..params import GuardrailParams
-from ..session import materialize
+from ..session import materialize, materialized
 from ..sources.tables import read_table
 from .cohort_queries import patients
 from .faults import fault_patients, fault_records
@@ -141,7 +141,8 @@ def name_safety(spark, sf_dir):
 
 
 def _fault_pipeline(spark, sf_dir, params: GuardrailParams):
-    recs = materialize(fault_records(spark, sf_dir))
+    recs = materialized(spark, f"fault_records:{sf_dir}") or materialize(
+        fault_records(spark, sf_dir), name=f"fault_records:{sf_dir}")
     return guardrail.run(recs, params, row_rules=rules.patient_rules(),
                          drift=lambda d, g: distribution.condition_drift(d, group_cols=g),
                          name_col=full_name(F.col("name")), blocklist=_blocklist(spark, sf_dir))

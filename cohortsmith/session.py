@@ -53,8 +53,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Cut lineage once a table feeds several branches: a reliable ``checkpoint()`` into the
-    shared ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark, name: str):
+    """The table written earlier in this session under ``name``, or None."""
+    path = _MATERIALIZED.get((spark.sparkContext.applicationId, name))
+    return spark.read.parquet(path) if path else None
+
+
+def materialize(df, name: str | None = None):
+    """Cut lineage once a table feeds several branches: write it as Parquet under the shared
+    ``spark.checkpoint.dir`` and read it back (one job; survives executor loss; no local
+    checkpoint). With a ``name`` the written table is reused for the rest of the session."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if name is not None and (app, name) in _MATERIALIZED:
+        return spark.read.parquet(_MATERIALIZED[(app, name)])
+    import uuid
+
+    path = shared_dir(spark, f"tables/{name or 'tmp'}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    if name is not None:
+        _MATERIALIZED[(app, name)] = path
+    return spark.read.parquet(path)
