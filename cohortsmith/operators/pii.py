@@ -58,10 +58,10 @@ def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
     lambdas then read plain array columns."""
     for i, (_, rx, tag) in enumerate(pats):
         cur = F.col(f"_t{i}")
-        cols = {f"_m{i}": F.regexp_extract_all(cur, F.lit(rx), F.lit(0))}
-        if with_positions:
-            cols[f"_s{i}"] = F.split(cur, rx, -1)
-        df = df.withColumns(cols).withColumn(f"_t{i + 1}", F.regexp_replace(cur, F.lit(rx),
+        df = df.withColumn(f"_m{i}", F.regexp_extract_all(cur, F.lit(rx), F.lit(0)))
+        if with_positions:  # split only texts the pattern matched
+            df = df.withColumn(f"_s{i}", F.when(F.size(f"_m{i}") > 0, F.split(cur, rx, -1)))
+        df = df.withColumn(f"_t{i + 1}", F.regexp_replace(cur, F.lit(rx),
                                                                              F.lit(_escape_replacement(tag))))
     return df
 
