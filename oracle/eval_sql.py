@@ -234,6 +234,7 @@ res AS (SELECT sp.eval_idx, sp.qt, sp.attempt, sp.role, sp.query, sp.prefix,
                ' ; ' ORDER BY p.patient_key) AS flk,
     string_agg(p.patient_id || ' => ' || coalesce(sp.prefix, '') || {reaction}, ' ; ' ORDER BY p.patient_key) AS frx,
     string_agg(p.chunk, ',' ORDER BY p.patient_key) AS chunks,
+    string_agg(p.note_text, chr(10) || chr(10) ORDER BY p.patient_key) AS texts,
     list(p.chunk ORDER BY p.patient_key) FILTER (WHERE p.patient_key IS NOT NULL) AS chunk_list,
     list(p.patient_id ORDER BY p.patient_key) FILTER (WHERE p.patient_key IS NOT NULL) AS members,
     list(p.note_text ORDER BY p.patient_key) FILTER (WHERE p.patient_key IS NOT NULL) AS notes
@@ -245,8 +246,8 @@ chosen AS (SELECT eval_idx, qt,
   FROM res GROUP BY eval_idx, qt),
 ev AS (SELECT c.eval_idx, c.qt, c.att,
     m.query AS q_main, m.prefix AS x_main, m.n AS n_main, m.sage AS s_main, m.ids AS ids_a, m.flk, m.frx, m.chunks AS chunks_a,
-    coalesce(m.chunk_list, []) AS f_a, m.members, m.notes,
-    b.n AS n_b, b.ids AS ids_b, coalesce(b.chunk_list, []) AS f_b, b.prefix AS x_b,
+    coalesce(m.chunk_list, []) AS f_a, m.members, m.notes, m.texts AS texts_a, coalesce(m.notes, []) AS t_a,
+    b.n AS n_b, b.ids AS ids_b, coalesce(b.chunk_list, []) AS f_b, coalesce(b.notes, []) AS t_b, b.prefix AS x_b,
     c1.n AS n_c1, c2.n AS n_c2, pr.n AS n_probe, pr.query AS q_probe
   FROM chosen c
   LEFT JOIN res m ON m.eval_idx = c.eval_idx AND m.attempt = c.att AND m.role IN ('main', 'pool')
@@ -321,10 +322,17 @@ fin AS (SELECT *,
       WHEN qt = 'Comparative' THEN array_to_string(f_a[1:{K.AGGREGATE_CONTEXT_LIMIT}], ',')
       WHEN qt = 'Negative' THEN ''
       WHEN qt = 'EvidenceRetrieval' THEN 'chunk_' || members[pick_rank] || '_note_0'
-      ELSE coalesce(chunks_a, '') END AS ctx
+      ELSE coalesce(chunks_a, '') END AS ctx,
+    CASE
+      WHEN qt = 'Aggregation' THEN array_to_string(t_a[1:{K.AGGREGATE_CONTEXT_LIMIT}], chr(10) || chr(10))
+      WHEN qt = 'Comparative' AND cv IN (0, 1) THEN array_to_string(list_concat(t_a[1:{K.AGGREGATE_CONTEXT_LIMIT}], t_b[1:{K.AGGREGATE_CONTEXT_LIMIT}])[1:{K.AGGREGATE_CONTEXT_LIMIT}], chr(10) || chr(10))
+      WHEN qt = 'Comparative' THEN array_to_string(t_a[1:{K.AGGREGATE_CONTEXT_LIMIT}], chr(10) || chr(10))
+      WHEN qt = 'Negative' THEN ''
+      WHEN qt = 'EvidenceRetrieval' THEN notes[pick_rank]
+      ELSE coalesce(texts_a, '') END AS ctx_text
   FROM fmt)
 SELECT printf('E%09d', eval_idx) AS eval_id, eval_idx, qt AS query_type, {diff} AS difficulty, query, answer,
-  n_gt::BIGINT AS n_ground_truth, gt_ids AS ground_truth_ids, facts, 42::BIGINT AS seed,
+  n_gt::BIGINT AS n_ground_truth, gt_ids AS ground_truth_ids, facts, ctx_text AS contexts, 42::BIGINT AS seed,
   (eval_idx // 1000)::BIGINT AS batch_id, ctx AS context_chunk_ids,
   (CASE WHEN ctx = '' THEN 0 ELSE len(string_split(ctx, ',')) END)::BIGINT AS n_contexts
 FROM fin"""
@@ -334,7 +342,7 @@ EVAL_SET = eval_set_sql()
 
 SQL = {
     "eval_set": EVAL_SET,
-    "ragas_set": f"SELECT query AS question, answer, context_chunk_ids AS contexts, answer AS ground_truth FROM ({EVAL_SET}) e",
+    "ragas_set": f"SELECT query AS question, answer, contexts, answer AS ground_truth FROM ({EVAL_SET}) e",
     "eval_class_mix": f"SELECT query_type, difficulty, count(*)::BIGINT AS n_evals FROM ({EVAL_SET}) e GROUP BY ALL",
 }
 for _c, _ in K.QUERY_CLASS_WEIGHTS:
