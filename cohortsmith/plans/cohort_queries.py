@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +110,64 @@ QUERIES = {
     "exposure_reaction_rates": exposure_reaction_rates,
     "exposure_reaction_rates_orders": exposure_reaction_rates_orders,
 }
+
+
+# ---------------------------------------------------------------------------
+# cohort predicates (FLT-*) and corpus lists (EVL-08/09)
+# ---------------------------------------------------------------------------
+
+def cohort_filters(spark, sf_dir):
+    """FLT-02…11: size of every single-parameter cohort, one aggregation pass."""
+    from ..operators import filters as FL
+
+    p = patients(spark, sf_dir, with_notes=False)
+    specs = []
+    for d in K.ALL_DRUGS:
+        specs += [("exposed_to", d, FL.exposed_to(d)), ("reactors_to", d, FL.reactors_to(d)),
+                  ("severe_reactors_to", d, FL.severe_reactors_to(d))]
+    for c in K.CONDITIONS:
+        specs += [("with_condition", c, FL.with_condition(c)), ("without_condition", c, FL.without_condition(c)),
+                  ("has_condition_ci", c.upper(), FL.has_condition_ci(c.upper()))]
+    for d in K.REACTION_DRUGS:
+        for t in K.REACTION_MODEL[d]["types"]:
+            specs.append(("reactors_with_type", f"{d}/{t}", FL.reactors_with_type(d, t)))
+    specs.append(("with_both", "diabetes/hypertension", FL.with_both("diabetes", "hypertension")))
+    wide = p.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, _, c) in enumerate(specs)])
+    stack = ", ".join(f"'{n}', '{k}', `c{i}`" for i, (n, k, _) in enumerate(specs))
+    return wide.selectExpr(f"stack({len(specs)}, {stack}) AS (predicate, param, n)").select(
+        "predicate", "param", F.col("n").cast("long"))
+
+
+def cohort_lookup(spark, sf_dir):
+    """FLT-01 batched: patients of customers that placed orders (left-semi join)."""
+    from ..operators import filters as FL
+    from ..sources.tables import read_table
+
+    probes = read_table(spark, sf_dir, "orders", "o_custkey").select(
+        F.format_string("P%09d", F.col("o_custkey")).alias("pid"))
+    return FL.find_by_ids(patients(spark, sf_dir, with_notes=False), probes, "pid").select("patient_id", "age", "gender")
+
+
+def cohort_lookup_missing(spark, sf_dir):
+    """JN-04: probe ids (one per order key) that match no patient (left-anti join)."""
+    from ..operators import filters as FL
+    from ..sources.tables import read_table
+
+    probes = read_table(spark, sf_dir, "orders", "o_orderkey").select(
+        F.format_string("P%09d", F.col("o_orderkey")).alias("pid"))
+    return FL.find_by_ids(patients(spark, sf_dir, with_notes=False), probes, "pid", found=False)
+
+
+def corpus_lists(spark, sf_dir):
+    """EVL-08/09: sorted distinct reaction types and regions of the corpus."""
+    p = patients(spark, sf_dir, with_notes=False)
+    return p.agg(F.array_join(F.array_sort(F.collect_set("reaction_type")), ",").alias("reaction_types"),
+                 F.array_join(F.array_sort(F.collect_set("region")), ",").alias("regions"))
+
+
+QUERIES.update({
+    "cohort_filters": cohort_filters,
+    "cohort_lookup": cohort_lookup,
+    "cohort_lookup_missing": cohort_lookup_missing,
+    "corpus_lists": corpus_lists,
+})

@@ -51,3 +51,37 @@ SQL = {
     "exposure_reaction_rates": _rates(),
     "exposure_reaction_rates_orders": _rates(ORDERS_KEYS),
 }
+
+
+def _filters():
+    rows = []
+    for d in K.ALL_DRUGS:
+        rows += [("exposed_to", d, f"list_contains(medications, {s(d)})"),
+                 ("reactors_to", d, f"coalesce(allergic_reaction AND reaction_medication = {s(d)}, false)"),
+                 ("severe_reactors_to", d, f"coalesce(allergic_reaction AND reaction_medication = {s(d)} "
+                                           f"AND reaction_severity = 'Severe', false)")]
+    for c in K.CONDITIONS:
+        rows += [("with_condition", c, f"list_contains(comorbidities, {s(c)})"),
+                 ("without_condition", c, f"NOT list_contains(comorbidities, {s(c)})"),
+                 ("has_condition_ci", c.upper(), f"len(list_filter(comorbidities, lambda x: lower(x) = {s(c)})) > 0")]
+    for d in K.REACTION_DRUGS:
+        for t in K.REACTION_MODEL[d]["types"]:
+            rows.append(("reactors_with_type", f"{d}/{t}",
+                         f"coalesce(allergic_reaction AND reaction_medication = {s(d)} AND reaction_type = {s(t)}, false)"))
+    rows.append(("with_both", "diabetes/hypertension",
+                 "list_contains(comorbidities, 'diabetes') AND list_contains(comorbidities, 'hypertension')"))
+    body = " UNION ALL ".join(f"SELECT {s(n)} AS predicate, {s(k)} AS param, count_if({e})::BIGINT AS n FROM cohort"
+                              for n, k, e in rows)
+    return with_cohort(body)
+
+
+SQL.update({
+    "cohort_filters": _filters(),
+    "cohort_lookup": with_cohort("SELECT patient_id, age, gender FROM cohort WHERE patient_id IN "
+                                 "(SELECT printf('P%09d', o_custkey) FROM orders WHERE o_custkey IS NOT NULL)"),
+    "cohort_lookup_missing": with_cohort("SELECT printf('P%09d', o_orderkey) AS patient_id FROM orders "
+                                         "WHERE printf('P%09d', o_orderkey) NOT IN (SELECT patient_id FROM cohort)"),
+    "corpus_lists": with_cohort("SELECT array_to_string(list_sort(list_distinct(list(reaction_type) FILTER "
+                                "(WHERE reaction_type IS NOT NULL))), ',') AS reaction_types, "
+                                "array_to_string(list_sort(list_distinct(list(region))), ',') AS regions FROM cohort"),
+})
