@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -46,10 +46,6 @@ def contains_pii(text: Column, pats=None) -> Column:
     return text.rlike(PREFILTER) & expr
 
 
-def _byte_sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0).cast("long"), lambda acc, s: acc + F.octet_length(s))
-
-
 def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
     """Add ``_t0`` … ``_tN`` (text before / after each replacement) and, per pattern, the
     split segments ``_s{i}`` and matches ``_m{i}`` of the text that pattern runs on.
@@ -66,31 +62,37 @@ def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
     return df
 
 
-def _hit_struct(name: str, tag: str, segs: Column, ms: Column):
-    def f(m, j):
-        return F.struct(
-            F.lit(name).alias("pattern_type"),
-            (_byte_sum(F.slice(segs, 1, j + 1)) + _byte_sum(F.slice(ms, 1, j))).alias("position"),
-            F.lit(tag).alias("redacted_to"),
-            m.alias("match"))
-    return f
+def _hits(i: int, name: str, tag: str, before: Column) -> Column:
+    """Matches of pattern ``i`` as structs with the byte length of the segment before each
+    match (segments are never carried out of the row, only their lengths)."""
+    segs, ms = F.col(f"_s{i}"), F.col(f"_m{i}")
+    return F.transform(ms, lambda m, j: F.struct(
+        F.lit(i).alias("pidx"), j.alias("j"), (before + j).cast("long").alias("seq"),
+        F.lit(name).alias("pattern_type"), F.lit(tag).alias("redacted_to"), m.alias("match"),
+        (F.octet_length(F.element_at(segs, j + 1)) + F.octet_length(m)).cast("long").alias("step")))
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, pats=None, keep: Sequence[str] = ()) -> DataFrame:
     """GRD-02: one row per match — ``pattern_type, position, redacted_to, match, seq``.
 
     ``seq`` orders the matches of one text (pattern order, then position); ``position`` is
-    the byte offset of the match in the text the pattern ran on."""
+    the byte offset of the match in the text the pattern ran on: a running sum of
+    (segment + match) bytes over the matches of one text and pattern, O(n log n) per text."""
     pats = pats or patterns()
     cand = (df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_t0"), *keep)
-            .where(F.col("_t0").rlike(PREFILTER)))
+            .where(F.col("_t0").rlike(PREFILTER))
+            .withColumn("_text", F.monotonically_increasing_id()))
     st = _staged(cand, pats, with_positions=True)
-    per_pattern = [F.transform(F.col(f"_m{i}"), _hit_struct(name, tag, F.col(f"_s{i}"), F.col(f"_m{i}")))
-                   for i, (name, _, tag) in enumerate(pats)]
-    hits = st.select("record_id", *keep, F.flatten(F.array(*per_pattern)).alias("_hits"))
-    out = hits.select("record_id", *keep, F.posexplode("_hits").alias("seq", "h"))
-    return out.select("record_id", *keep, F.col("seq").cast("long").alias("seq"), "h.pattern_type", "h.position",
-                      "h.redacted_to", "h.match")
+    per_pattern, before = [], F.lit(0)
+    for i, (name, _, tag) in enumerate(pats):
+        per_pattern.append(_hits(i, name, tag, before))
+        before = before + F.size(f"_m{i}")
+    rows = (st.select("record_id", *keep, "_text", F.explode(F.flatten(F.array(*per_pattern))).alias("h"))
+            .select("record_id", *keep, "_text", "h.*"))
+    w = Window.partitionBy("_text", "pidx").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pos = F.sum("step").over(w) - F.octet_length("match")
+    return rows.select("record_id", *keep, "seq", "pattern_type", pos.cast("long").alias("position"),
+                       "redacted_to", "match")
 
 
 def counts(df: DataFrame, text_col: str, pats=None) -> DataFrame:
