@@ -3,8 +3,9 @@
 The six patterns run in order on the *progressively redacted* text, so an earlier pattern
 masks what a later one would see; positions are byte offsets in the text the pattern ran
 on. All of it is built from native regex functions in one projection — one scan of the
-table for all patterns — behind a cheap prefilter: every pattern needs a digit or an ``@``,
-so rows without either skip the six regex passes (their text is returned unchanged).
+table for all patterns — behind a cheap prefilter: every pattern needs three digits in a row or an ``@``,
+so rows without three consecutive digits or an ``@`` skip the six regex passes (their text
+is returned unchanged).
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 UNICODE = "(?U)"  # \d \s \b are Unicode-aware in the behaviour we reproduce
-PREFILTER = UNICODE + r"\d|@"
+# Necessary condition for any match of the fixed patterns: three consecutive digits (SSN,
+# phone, ZIP, card) or an "@" (email). Redaction tags contain neither, so masking never
+# creates a candidate. With user patterns the prefilter is dropped.
+PREFILTER = UNICODE + r"\d{3}|@"
 
 
 def patterns(extra: Sequence[tuple[str, str, str]] = ()) -> list[tuple[str, str, str]]:
@@ -25,6 +29,12 @@ def patterns(extra: Sequence[tuple[str, str, str]] = ()) -> list[tuple[str, str,
     return [(n, UNICODE + rx, tag) for n, rx, tag in list(K.PII_PATTERNS) + list(extra)]
 
 
+def _candidates(text: Column, pats) -> Column:
+    """The prefilter, valid only for the fixed pattern table."""
+    fixed = [(n, UNICODE + rx, t) for n, rx, t in K.PII_PATTERNS]
+    return text.rlike(PREFILTER) if list(pats) == fixed else F.lit(True)
+
+
 def _escape_replacement(tag: str) -> str:
     return tag.replace("\\", "\\\\").replace("$", "\\$")
 
@@ -43,7 +53,7 @@ def contains_pii(text: Column, pats=None) -> Column:
     expr = F.lit(False)
     for _, rx, _ in pats:
         expr = expr | text.rlike(rx)
-    return text.rlike(PREFILTER) & expr
+    return _candidates(text, pats) & expr
 
 
 def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
@@ -57,8 +67,8 @@ def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
         df = df.withColumn(f"_m{i}", F.regexp_extract_all(cur, F.lit(rx), F.lit(0)))
         if with_positions:  # split only texts the pattern matched
             df = df.withColumn(f"_s{i}", F.when(F.size(f"_m{i}") > 0, F.split(cur, rx, -1)))
-        df = df.withColumn(f"_t{i + 1}", F.regexp_replace(cur, F.lit(rx),
-                                                                             F.lit(_escape_replacement(tag))))
+        df = df.withColumn(f"_t{i + 1}", F.when(F.size(f"_m{i}") > 0, F.regexp_replace(
+            cur, F.lit(rx), F.lit(_escape_replacement(tag)))).otherwise(cur))
     return df
 
 
@@ -80,7 +90,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, pats=None, keep: Sequence[st
     (segment + match) bytes over the matches of one text and pattern, O(n log n) per text."""
     pats = pats or patterns()
     cand = (df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_t0"), *keep)
-            .where(F.col("_t0").rlike(PREFILTER))
+            .where(_candidates(F.col("_t0"), pats))
             .withColumn("_text", F.monotonically_increasing_id()))
     st = _staged(cand, pats, with_positions=True)
     per_pattern, before = [], F.lit(0)
@@ -98,7 +108,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, pats=None, keep: Sequence[st
 def counts(df: DataFrame, text_col: str, pats=None) -> DataFrame:
     """Matches per pattern over the whole table (sequential masking), zero rows included."""
     pats = pats or patterns()
-    cand = df.select(F.col(text_col).alias("_t0")).where(F.col("_t0").rlike(PREFILTER))
+    cand = df.select(F.col(text_col).alias("_t0")).where(_candidates(F.col("_t0"), pats))
     st = _staged(cand, pats, with_positions=False)
     per_row = st.select(*[F.size(f"_m{i}").alias(n) for i, (n, _, _) in enumerate(pats)])
     agg = per_row.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n, _, _ in pats])
@@ -109,4 +119,5 @@ def counts(df: DataFrame, text_col: str, pats=None) -> DataFrame:
 def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, pats=None) -> DataFrame:
     """GRD-03 on a table; rows without a digit or ``@`` keep their text untouched."""
     t = F.col(text_col)
-    return df.withColumn(out_col or text_col, F.when(t.rlike(PREFILTER), redact(t, pats)).otherwise(t))
+    pats = pats or patterns()
+    return df.withColumn(out_col or text_col, F.when(_candidates(t, pats), redact(t, pats)).otherwise(t))
