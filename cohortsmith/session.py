@@ -21,6 +21,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no per-call call-site capture while building large column expressions (batch jobs)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -27,6 +27,24 @@ def split_source(df: DataFrame, key_col: str, path: str, n_files: int) -> str:
     return path
 
 
+def split_source_in_time_order(df: DataFrame, ts_col: str, path: str, n_files: int) -> str:
+    """Write an event table as ``n_files`` time ranges, one file each, one range after the
+    other, so the file source (which reads files in modification-time order) sees the
+    events in time order — as a live stream would — and the watermark never drops them."""
+    t = F.col(ts_col).cast("timestamp").cast("double")
+    probs = [i / n_files for i in range(1, n_files)]
+    cuts = df.select(t.alias("_t")).approxQuantile("_t", probs, 0.0) if n_files > 1 else []
+    bounds = [None] + cuts + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = df
+        if lo is not None:
+            part = part.where(t >= F.lit(lo))
+        if hi is not None:
+            part = part.where(t < F.lit(hi))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def run_text_checks(spark: SparkSession, source: str, schema, id_col: str, text_col: str, out: str,
                     terms: dict | None = None, category_col: str | None = None, expected: dict | None = None,
                     files_per_trigger: int = 1) -> DataFrame:
