@@ -152,6 +152,11 @@ def guardrail_report(spark, sf_dir):
     return _fault_pipeline(spark, sf_dir, GuardrailParams()).report_rows
 
 
+def guardrail_report_batch(spark, sf_dir):
+    """The same pipeline with the reference's per-batch scope for drift and duplicates."""
+    return _fault_pipeline(spark, sf_dir, GuardrailParams(scope="batch")).report_rows
+
+
 def guardrail_report_json(spark, sf_dir):
     return guardrail.report_json(guardrail_report(spark, sf_dir))
 
@@ -190,6 +195,7 @@ QUERIES = {
     "reject_duplicates": reject_duplicates,
     "name_safety": name_safety,
     "guardrail_report": guardrail_report,
+    "guardrail_report_batch": guardrail_report_batch,
     "guardrail_report_json": guardrail_report_json,
     "reject_on_error": reject_on_error,
     "guardrail_documents": guardrail_documents,

@@ -23,6 +23,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # no per-call call-site capture while building large column expressions (batch jobs)
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # constraint inference over many aliased generated expressions (29 draws, the note
+    # template, six staged regex columns) grows exponentially in the optimizer
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -79,3 +82,11 @@ def materialize(df, name: str | None = None):
     if name is not None:
         _MATERIALIZED[(app, name)] = path
     return spark.read.parquet(path)
+
+
+def cut_for_optimizer(df, name: str | None = None):
+    """Inputs that feed several check branches are written once when the session still
+    infers constraints (default Spark): generated cohorts otherwise make that inference
+    explode. With constraint propagation off the plan stays lazy."""
+    conf = df.sparkSession.conf.get("spark.sql.constraintPropagation.enabled", "true")
+    return materialize(df, name) if str(conf).lower() == "true" else df

@@ -186,7 +186,7 @@ def _viol_select(chk: str, src: str, cols: dict) -> str:
     return f"SELECT {', '.join(out)} FROM {src}"
 
 
-def _fault_report() -> str:
+def _fault_report(batch_scope: bool = False) -> str:
     fr_cols = {"record_id": "record_id", "record_ord": "record_ord", "batch_id": "batch_id"}
     viol = " UNION ALL ".join([
         _viol_select("pii_scan", "fr_pii_rows", dict(fr_cols, seq="seq", position="position",
@@ -196,7 +196,8 @@ def _fault_report() -> str:
         _viol_select("content_policy", "fr_content", dict(fr_cols, seq="seq", category="category", term="term",
                                                           context="context")),
         _viol_select("plausibility", "fr_rules", dict(fr_cols, seq="seq", rule="rule")),
-        _viol_select("distribution", "fr_drift", {"record_id": "'aggregate'", "seq": "seq", "metric": "metric"}),
+        _viol_select("distribution", "fr_drift", {"record_id": "'aggregate'", "seq": "seq", "metric": "metric",
+                                                  **({"batch_id": "batch_id"} if batch_scope else {})}),
         _viol_select("uniqueness", "fr_dups", dict(fr_cols, seq="0::BIGINT", duplicate_id="record_id")),
     ])
     ctes = ",\n".join([
@@ -206,9 +207,9 @@ def _fault_report() -> str:
         _pii_ctes("fault_records", "record_id", "note_text", "fr_pii", ", record_ord, batch_id"),
         "fr_content AS (" + _content_select("fault_records", "record_id", "note_text", ", record_ord, batch_id") + ")",
         "fr_rules AS (" + _rules_select("fault_records", ", record_ord, batch_id") + ")",
-        "fr_drift AS (" + _drift_select("fault_records", _cond_flags(), None, True) + ")",
-        "fr_dups AS (SELECT * FROM (SELECT *, min(record_ord) OVER (PARTITION BY record_id) AS f FROM fault_records) "
-        "WHERE record_ord > f)",
+        "fr_drift AS (" + _drift_select("fault_records", _cond_flags(), "batch_id" if batch_scope else None, True) + ")",
+        "fr_dups AS (SELECT * FROM (SELECT *, min(record_ord) OVER (PARTITION BY "
+        + ("batch_id, " if batch_scope else "") + "record_id) AS f FROM fault_records) WHERE record_ord > f)",
         f"viol AS ({viol})",
     ])
     return _report_sql(ctes, "fault_records")
@@ -286,6 +287,7 @@ SQL = {
     "name_safety": f"WITH {cohort_ctes()[1:]},\n{_blocklist_ctes()}\nSELECT patient_id AS record_id, full_name AS blocked_name "
                    "FROM cohort WHERE lower(trim(regexp_replace(full_name, '\\s+', ' ', 'g'))) IN (SELECT norm FROM blocklist)",
     "guardrail_report": _fault_report(),
+    "guardrail_report_batch": _fault_report(batch_scope=True),
     "guardrail_documents": _documents_report(),
 }
 

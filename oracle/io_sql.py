@@ -82,6 +82,9 @@ FROM t"""
 
 
 SQL = {
+    "generate_job": " UNION ALL ".join(
+        f"SELECT '{name}' AS output, count(*)::BIGINT AS n FROM customer"
+        for name in ("patients", "clinical_notes", "chunks", "evals", "ragas_dataset")),
     "jsonl_roundtrip": with_cohort(
         "SELECT patient_id, age::BIGINT AS age, gender, region, comorbidities_str AS comorbidities, "
         "medications_str AS medications, reaction_medication, reaction_type, reaction_severity, note_text, batch_id "
