@@ -13,6 +13,7 @@ every generated table checkable by an independent SQL oracle. ``hash="xxhash64"`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -33,6 +34,31 @@ def uniform(key: Column, stage: str, draw: str, seed: int, hash: str = "md5") ->
     raise ValueError(f"unknown hash {hash!r}")
 
 
+def raw(key: Column, stage: str, draw: str, seed: int, hash: str = "md5") -> Column:
+    """The draw in its cheapest comparable form: for md5 the 13-hex-digit prefix itself (a
+    lowercase hex string of fixed width orders like the integer it encodes), for xxhash64
+    the uniform double. Compare it with ``below`` only."""
+    if hash == "md5":
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stage), key.cast("string"), F.lit(draw)))
+        return F.substring(digest, 1, 13)
+    return uniform(key, stage, draw, seed, hash)
+
+
+def below(raw_draw: Column, p: float, hash: str = "md5") -> Column:
+    """``u < p`` on a ``raw`` draw. For md5, ``u = k / 2^52`` with integer ``k``, so ``u < p``
+    iff ``k < ceil(p * 2^52)``: one fixed-width string comparison instead of a base
+    conversion per draw (same bits as the numeric form, ~2x faster)."""
+    p = float(p)
+    if hash != "md5":
+        return raw_draw < F.lit(p)
+    if p <= 0.0:
+        return F.lit(False)
+    t = math.ceil(p * TWO_POW_52)
+    if t >= 2**52:
+        return F.lit(True)
+    return raw_draw < F.lit(format(t, "013x"))
+
+
 class Drawer:
     """Binds seed, stage, key and hash so call sites read ``d("age")``."""
 
@@ -42,6 +68,9 @@ class Drawer:
     def __call__(self, draw: str) -> Column:
         return uniform(self.key, self.stage, draw, self.seed, self.hash)
 
+    def raw(self, draw: str) -> Column:
+        return raw(self.key, self.stage, draw, self.seed, self.hash)
+
 
 def index_below(u: Column, n) -> Column:
     """GEN-02: uniform index in ``0..n-1``; ``n`` may be an int or an int column."""

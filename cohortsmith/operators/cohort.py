@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.draws import Drawer, bernoulli, int_between, pick
+from ..functions.draws import Drawer, below, int_between, pick
 from ..functions.names import full_name, name_struct
 from ..functions.text import join_or, str_array, zero_padded_id
 from ..params import CohortParams
 
-PROFILE_DRAWS = ["age", "gender", "region", "risk", "first", "last", "mi_flag", "mi", "suffix_flag", "suffix"]
+PROFILE_PICKS = ["age", "region", "first", "last", "mi", "suffix"]
+PROFILE_FLAGS = ["gender", "risk", "mi_flag", "suffix_flag"]
 MED_DRAWS = ["metformin", "aspirin_senior", "aspirin_any", "drug_x", "drug_y", "drug_z"]
 RX_DRAWS = ["x", "x_type", "x_severity", "y", "y_type", "y_severity"]
 
@@ -30,17 +31,6 @@ def _surname_pool(region: Column) -> Column:
     return expr
 
 
-def _threshold(flag: Column, base: float, bump: float) -> Column:
-    # base + bump is folded on the driver so that every engine compares the same double
-    return F.when(flag, F.lit(base + bump)).otherwise(F.lit(base))
-
-
-def _severity_threshold(flag: Column, base: float, bump: float) -> tuple[Column, Column]:
-    severe = _threshold(flag, base, bump)
-    moderate = F.when(flag, F.lit(base + bump + K.MODERATE_BAND)).otherwise(F.lit(base + K.MODERATE_BAND))
-    return severe, moderate
-
-
 def generate_cohort(keys: DataFrame, key_col: str = "id", params: CohortParams = CohortParams(),
                     with_notes: bool = True) -> DataFrame:
     """JOB-01 core: keys -> patients (profile, conditions, medications, reaction, note)."""
@@ -50,53 +40,62 @@ def generate_cohort(keys: DataFrame, key_col: str = "id", params: CohortParams =
     k = F.col("patient_key")
     prof, cond, med, rx = (Drawer(k, s, p.seed, p.hash) for s in ("profile", "cond", "med", "rx"))
 
-    # 1. every draw once (md5 is not "cheap", so Catalyst keeps this projection un-collapsed)
-    draws = {f"u_p_{d}": prof(d) for d in PROFILE_DRAWS}
-    draws.update({f"u_c_{c}": cond(c) for c in K.CONDITIONS})
-    draws.update({f"u_m_{d}": med(d) for d in MED_DRAWS})
-    draws.update({f"u_r_{d}": rx(d) for d in RX_DRAWS})
+    # 1. every draw once (md5 is not "cheap", so Catalyst keeps this projection un-collapsed).
+    #    Draws only ever compared with a probability stay in their raw form (``below``);
+    #    draws that index a list are uniform doubles.
+    draws = {f"u_p_{d}": prof(d) for d in PROFILE_PICKS}
+    draws.update({f"r_p_{d}": prof.raw(d) for d in PROFILE_FLAGS})
+    draws.update({f"r_c_{c}": cond.raw(c) for c in K.CONDITIONS})
+    draws.update({f"r_m_{d}": med.raw(d) for d in MED_DRAWS})
+    draws.update({f"r_r_{d}": rx.raw(d) for d in ("x", "x_severity", "y", "y_severity")})
+    draws.update({f"u_r_{d}": rx(d) for d in ("x_type", "y_type")})
     df = base.withColumns(draws)
     u = F.col
 
+    def lt(name: str, prob: float) -> Column:
+        return below(F.col(name), prob, p.hash)
+
+    def lt_if(flag: Column, name: str, p_true: float, p_false: float) -> Column:
+        return F.when(flag, lt(name, p_true)).otherwise(lt(name, p_false))
+
     # 2. profile (GEN-07…11)
-    gender = F.when(bernoulli(u("u_p_gender"), p.female_probability), F.lit("Female")).otherwise(F.lit("Male"))
+    gender = F.when(lt("r_p_gender", p.female_probability), F.lit("Female")).otherwise(F.lit("Male"))
     df = df.withColumns({
         "patient_id": zero_padded_id("P", k),
         "age": int_between(u("u_p_age"), p.min_age, p.max_age),
         "gender": gender,
         "region": pick(u("u_p_region"), K.REGIONS),
     })
-    risk_roll = u("u_p_risk")
     first_pool = F.when(F.col("gender") == "Female", str_array(K.FIRST_NAMES_FEMALE)).otherwise(
         str_array(K.FIRST_NAMES_MALE))
-    mi = F.when(bernoulli(u("u_p_mi_flag"), K.MIDDLE_INITIAL_PROBABILITY),
+    mi = F.when(lt("r_p_mi_flag", K.MIDDLE_INITIAL_PROBABILITY),
                 F.char(F.lit(65) + F.floor(u("u_p_mi") * F.lit(26)).cast("int")))
-    suffix = F.when(bernoulli(u("u_p_suffix_flag"), K.SUFFIX_PROBABILITY), pick(u("u_p_suffix"), K.SUFFIXES))
+    suffix = F.when(lt("r_p_suffix_flag", K.SUFFIX_PROBABILITY), pick(u("u_p_suffix"), K.SUFFIXES))
     df = df.withColumns({
-        "risk_bucket": F.when((F.col("age") > K.RISK_HIGH_AGE) | (risk_roll < K.RISK_HIGH_ROLL), F.lit("High"))
-        .when((F.col("age") > K.RISK_MEDIUM_AGE) | (risk_roll < K.RISK_MEDIUM_ROLL), F.lit("Medium"))
+        "risk_bucket": F.when((F.col("age") > K.RISK_HIGH_AGE) | lt("r_p_risk", K.RISK_HIGH_ROLL), F.lit("High"))
+        .when((F.col("age") > K.RISK_MEDIUM_AGE) | lt("r_p_risk", K.RISK_MEDIUM_ROLL), F.lit("Medium"))
         .otherwise(F.lit("Low")),
         "name": name_struct(pick(u("u_p_first"), first_pool), pick(u("u_p_last"), _surname_pool(F.col("region"))),
                             mi, suffix),
     })
 
     # 3. conditions (GEN-12): independent Bernoullis, fixed order
-    has = {c: bernoulli(u(f"u_c_{c}"), p.condition_rates[c]) for c in K.CONDITIONS}
+    has = {c: lt(f"r_c_{c}", p.condition_rates[c]) for c in K.CONDITIONS}
     df = df.withColumn("comorbidities", F.array_compact(F.array(*[F.when(has[c], F.lit(c)) for c in K.CONDITIONS])))
 
     # 4. medications (GEN-13); aspirin keeps the two-draw rule for age > 55
     age = F.col("age")
     aspirin = (has["coronary_artery_disease"]
-               | ((age > K.ASPIRIN_SENIOR_AGE) & bernoulli(u("u_m_aspirin_senior"), p.aspirin_exposure))
-               | bernoulli(u("u_m_aspirin_any"), p.aspirin_exposure))
+               | ((age > K.ASPIRIN_SENIOR_AGE) & lt("r_m_aspirin_senior", p.aspirin_exposure))
+               | lt("r_m_aspirin_any", p.aspirin_exposure))
     meds = [
-        ("Metformin", has["diabetes"] & bernoulli(u("u_m_metformin"), p.metformin_if_diabetes)),
+        ("Metformin", has["diabetes"] & lt("r_m_metformin", p.metformin_if_diabetes)),
         ("Lisinopril", has["hypertension"]),
         ("Albuterol", has["asthma"]),
         ("Aspirin", aspirin),
-        ("DrugX", bernoulli(u("u_m_drug_x"), p.drug_x_exposure)),
-        ("DrugY", bernoulli(u("u_m_drug_y"), p.drug_y_exposure)),
-        ("DrugZ", bernoulli(u("u_m_drug_z"), p.drug_z_exposure)),
+        ("DrugX", lt("r_m_drug_x", p.drug_x_exposure)),
+        ("DrugY", lt("r_m_drug_y", p.drug_y_exposure)),
+        ("DrugZ", lt("r_m_drug_z", p.drug_z_exposure)),
     ]
     df = df.withColumns({
         "medications": F.array_compact(F.array(*[F.when(flag, F.lit(m)) for m, flag in meds])),
@@ -105,17 +104,22 @@ def generate_cohort(keys: DataFrame, key_col: str = "id", params: CohortParams =
         "_diabetic": has["diabetes"],
     })
 
-    # 5. reaction (GEN-14/15): DrugX first, DrugY only without a DrugX reaction
+    # 5. reaction (GEN-14/15): DrugX first, DrugY only without a DrugX reaction. Bumped
+    #    probabilities are summed on the driver, in the reference's order of operations.
     mx, my = p.reaction_model["DrugX"], p.reaction_model["DrugY"]
     senior = age > K.SEVERE_AGE
     diab = F.col("_diabetic")
-    rx_x = F.col("_x_exposed") & (u("u_r_x") < _threshold(diab, mx["probability"], mx["diabetes_bump"]))
-    rx_y = ~rx_x & F.col("_y_exposed") & (u("u_r_y") < _threshold(diab, my["probability"], my["diabetes_bump"]))
-    sx, mxm = _severity_threshold(senior, mx["severe"], mx["senior_severe_bump"])
-    sy, mym = _severity_threshold(senior, my["severe"], my["senior_severe_bump"])
-
-    def sev(roll, s, m):
-        return F.when(roll < s, F.lit("Severe")).when(roll < m, F.lit("Moderate")).otherwise(F.lit("Mild"))
+    rx_x = F.col("_x_exposed") & lt_if(diab, "r_r_x", mx["probability"] + mx["diabetes_bump"], mx["probability"])
+    rx_y = ~rx_x & F.col("_y_exposed") & lt_if(diab, "r_r_y", my["probability"] + my["diabetes_bump"],
+                                                 my["probability"])
+
+    def sev(name: str, model: dict) -> Column:
+        """GEN-15: Severe if roll < s, Moderate if roll < s + .35, else Mild (s bumped past 65)."""
+        s_old = model["severe"] + model["senior_severe_bump"]
+        s_young = model["severe"]
+        return (F.when(lt_if(senior, name, s_old, s_young), F.lit("Severe"))
+                .when(lt_if(senior, name, s_old + K.MODERATE_BAND, s_young + K.MODERATE_BAND), F.lit("Moderate"))
+                .otherwise(F.lit("Mild")))
 
     df = df.withColumns({"_rx": rx_x, "_ry": rx_y})
     rxc, ryc = F.col("_rx"), F.col("_ry")
@@ -123,7 +127,7 @@ def generate_cohort(keys: DataFrame, key_col: str = "id", params: CohortParams =
         "allergic_reaction": rxc | ryc,
         "reaction_medication": F.when(rxc, F.lit("DrugX")).when(ryc, F.lit("DrugY")),
         "reaction_type": F.when(rxc, pick(u("u_r_x_type"), mx["types"])).when(ryc, pick(u("u_r_y_type"), my["types"])),
-        "reaction_severity": F.when(rxc, sev(u("u_r_x_severity"), sx, mxm)).when(ryc, sev(u("u_r_y_severity"), sy, mym)),
+        "reaction_severity": F.when(rxc, sev("r_r_x_severity", mx)).when(ryc, sev("r_r_y_severity", my)),
         "metadata": F.struct(F.lit(p.seed).cast("long").alias("seed"),
                              F.floor(k / F.lit(p.batch_size)).cast("long").alias("batch_id")),
     })
