@@ -19,6 +19,7 @@ EVENT_TYPE_SHARES = {"view": 0.2, "click": 0.2, "purchase": 0.2, "signup": 0.2,
 LANG_SHARES = {"en": 0.6, "es": 0.1, "fr": 0.15, "de": 0.15}
 # Default terms plus a user category with terms that occur in the documents.
 DOC_TERMS = dict(K.CONTENT_TERMS, governance=["license", "token"])
+CONVERSATION_TERMS = dict(DOC_TERMS, harassment=["hate"])
 
 
 def _docs(spark, sf_dir, *cols):
@@ -73,7 +74,7 @@ def content_policy_notes(spark, sf_dir):
 
 
 def content_policy_conversations(spark, sf_dir):
-    return content.check(_conversations(spark, sf_dir), "record_id", "text", DOC_TERMS).select(
+    return content.check(_conversations(spark, sf_dir), "record_id", "text", CONVERSATION_TERMS).select(
         "record_id", "seq", "category", "term", "context")
 
 
@@ -83,7 +84,8 @@ def row_rules_patients(spark, sf_dir):
 
 
 def row_rules_orders(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
+                   "o_orderdate")
     return rules.check(o, "o_orderkey", rules.order_rules()).select(
         F.col("record_id").cast("string").alias("record_id"), "seq", "rule", "details")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortsmith import constants as K
-from cohortsmith.plans.guardrail_queries import DOC_TERMS, EVENT_TYPE_SHARES, LANG_SHARES
+from cohortsmith.plans.guardrail_queries import CONVERSATION_TERMS, DOC_TERMS, EVENT_TYPE_SHARES, LANG_SHARES
 
 from .cohort_sql import NOTE_SQL, cohort_ctes, dbl, s
 
@@ -265,7 +265,8 @@ SQL = {
                            _content_select("documents", "CAST(doc_id AS VARCHAR)", "text"),
     "content_policy_notes": f"WITH {_fault_ctes()},\n{_terms_values(K.CONTENT_TERMS)}\n" +
                             _content_select("fault_patients", "patient_id", "note_text"),
-    "content_policy_conversations": f"WITH {_terms_values(DOC_TERMS)}\n" + _content_select(CONV, "record_id", "text"),
+    "content_policy_conversations": f"WITH {_terms_values(CONVERSATION_TERMS)}\n" +
+                                    _content_select(CONV, "record_id", "text"),
     "row_rules_patients": f"WITH {_fault_ctes()},\nfpr AS (SELECT patient_id AS record_id, * FROM fault_patients)\n" +
                           _rules_select("fpr"),
     "row_rules_orders": """SELECT CAST(o_orderkey AS VARCHAR) AS record_id, seq, rule, details FROM (
@@ -273,6 +274,8 @@ SQL = {
   UNION ALL SELECT o_orderkey, 1, 'unknown_status', 'Status ' || coalesce(o_orderstatus, 'null') || ' is not one of F, O, P' FROM orders WHERE o_orderstatus NOT IN ('F', 'O', 'P') OR o_orderstatus IS NULL
   UNION ALL SELECT o_orderkey, 2, 'unknown_priority', 'Priority ' || coalesce(o_orderpriority, 'null') || ' has no 1-5 rank' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-5]-') OR o_orderpriority IS NULL
   UNION ALL SELECT o_orderkey, 3, 'total_above_limit', printf('Total price %s exceeds 500000', CAST(o_totalprice AS VARCHAR)) FROM orders WHERE o_totalprice > 500000.0
+  UNION ALL SELECT o_orderkey, 4, 'urgent_order_still_open', 'Urgent order is still open' FROM orders WHERE starts_with(o_orderpriority, '1-') AND o_orderstatus = 'O'
+  UNION ALL SELECT o_orderkey, 5, 'order_dated_after_as_of', 'Order date ' || strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || ' is after 1998-08-02' FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1998-08-02'
 ) t""",
     "distribution_conditions": _drift_query(cohort_ctes()[1:], "cohort", _cond_flags(), "batch_id"),
     "distribution_conditions_faults": _drift_query(_fault_ctes()[1:], "fault_patients", _cond_flags(), None),
