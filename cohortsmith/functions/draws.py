@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import str_array
+
 TWO_POW_52 = float(2**52)
 TWO_POW_53 = float(2**53)
 
@@ -90,7 +92,7 @@ def bernoulli(u: Column, p) -> Column:
 
 def pick(u: Column, items) -> Column:
     """GEN-04: uniform pick from a Python list or an array column (null when empty)."""
-    arr = items if isinstance(items, Column) else F.array(*[F.lit(x) for x in items])
+    arr = items if isinstance(items, Column) else str_array(items)
     return F.try_element_at(arr, index_below(u, F.size(arr)) + 1)
 
 
@@ -102,7 +104,7 @@ def pick_pair_indices(u_a: Column, u_b: Column, n: int) -> tuple[Column, Column]
 
 
 def pick_pair(u_a: Column, u_b: Column, items: Sequence[str]) -> tuple[Column, Column]:
-    arr = F.array(*[F.lit(x) for x in items])
+    arr = str_array(items)
     a, b = pick_pair_indices(u_a, u_b, len(items))
     return F.element_at(arr, a + 1), F.element_at(arr, b + 1)
 
