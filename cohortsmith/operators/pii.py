@@ -56,7 +56,7 @@ def contains_pii(text: Column, pats=None) -> Column:
     return _candidates(text, pats) & expr
 
 
-def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
+def _staged(df: DataFrame, pats, with_positions: bool, guard: Column | None = None) -> DataFrame:
     """Add ``_t0`` … ``_tN`` (text before / after each replacement) and, per pattern, the
     split segments ``_s{i}`` and matches ``_m{i}`` of the text that pattern runs on.
 
@@ -64,7 +64,10 @@ def _staged(df: DataFrame, pats, with_positions: bool) -> DataFrame:
     lambdas then read plain array columns."""
     for i, (_, rx, tag) in enumerate(pats):
         cur = F.col(f"_t{i}")
-        df = df.withColumn(f"_m{i}", F.regexp_extract_all(cur, F.lit(rx), F.lit(0)))
+        found = F.regexp_extract_all(cur, F.lit(rx), F.lit(0))
+        if guard is not None:  # rows failing the prefilter never run the regex
+            found = F.when(guard, found).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(f"_m{i}", found)
         if with_positions:  # split only texts the pattern matched
             df = df.withColumn(f"_s{i}", F.when(F.size(f"_m{i}") > 0, F.split(cur, rx, -1)))
         df = df.withColumn(f"_t{i + 1}", F.when(F.size(f"_m{i}") > 0, F.regexp_replace(
