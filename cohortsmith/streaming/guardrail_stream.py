@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, distribution, pii, uniqueness
+from ..operators import distribution, text_checks, uniqueness
 from ..session import shared_dir
 
 
@@ -51,16 +51,14 @@ def run_text_checks(spark: SparkSession, source: str, schema, id_col: str, text_
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()  # read by five branches of this micro-batch
+        batch = batch.persist()  # read by the checks, the duplicate scan and the counts
         b = batch.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text"),
                          *([F.col(category_col).alias("category")] if category_col else []))
-        p = pii.scan(b, "record_id", "text").select(
-            "record_id", F.lit("pii_scan").alias("check"), F.col("pattern_type").alias("detail"))
-        c = content.check(b, "record_id", "text", terms).select(
-            "record_id", F.lit("content_policy").alias("check"), F.col("term").alias("detail"))
+        hits = text_checks.scan(b, "record_id", "text", terms=terms).select(
+            "record_id", "check", F.coalesce("pattern_type", "term").alias("detail"))
         u = uniqueness.violations(b.withColumn("_o", F.monotonically_increasing_id()), "record_id", "_o").select(
             F.col("duplicate_id").alias("record_id"), F.lit("uniqueness").alias("check"), F.lit(None).cast("string").alias("detail"))
-        parts = p.unionByName(c).unionByName(u)
+        parts = hits.unionByName(u)
         if category_col and expected:
             d = distribution.categorical_drift(b, "category", expected).select(
                 F.lit("aggregate").alias("record_id"), F.lit("distribution").alias("check"),

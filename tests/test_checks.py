@@ -95,3 +95,17 @@ def test_uniqueness(spark):
     assert viol(["P001", "P002", "P001", "P002", "P003"]) == ["P001", "P002"]
     df = spark.createDataFrame([("P001", 0), ("P002", 1), ("P001", 2)], "id string, ord long")
     assert [r.id for r in uniqueness.reject_duplicates(df, "id").collect()] == ["P002"]
+
+
+def test_one_pass_scan_equals_separate_operators(spark):
+    from cohortsmith.operators import text_checks
+    from cohortsmith.plans.guardrail_queries import DOC_TERMS
+    from cohortsmith.sources.tables import read_table
+
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text")
+    both = text_checks.scan(docs, "doc_id", "text", terms=DOC_TERMS)
+    p1 = {(r.record_id, r.seq, r.pattern_type, r.position) for r in pii.scan(docs, "doc_id", "text").collect()}
+    p2 = {(r.record_id, r.seq, r.pattern_type, r.position) for r in both.where("check = 'pii_scan'").collect()}
+    c1 = {(r.record_id, r.term, r.context) for r in content.check(docs, "doc_id", "text", DOC_TERMS).collect()}
+    c2 = {(r.record_id, r.term, r.context) for r in both.where("check = 'content_policy'").collect()}
+    assert p1 == p2 and c1 == c2 and (p1 or c1)
