@@ -14,7 +14,7 @@ Both use ``trigger(availableNow=True)`` so a run processes what is there and sto
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distribution, text_checks, uniqueness
@@ -85,14 +85,22 @@ def run_event_windows(spark: SparkSession, source: str, schema, ts_col: str, cat
                       window: str = "1 day", watermark: str = "1 day", files_per_trigger: int = 1) -> DataFrame:
     """STR-02 (event time): per tumbling window, count per category; returns the final counts."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as UTC wall time
-    stream = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    # Watermarks need TIMESTAMP. A TIMESTAMP_NTZ wall time is read as a UTC instant whatever
+    # the session time zone, so daily windows follow the wall-clock day; window starts are
+    # mapped back to wall time on output.
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    wall_clock = dict(schema_fields(schema)).get(ts_col) == "timestamp_ntz"
+    if wall_clock:
+        stream = stream.withColumn(ts_col, F.from_utc_timestamp(F.col(ts_col).cast("timestamp"), tz))
+
+    def to_wall(c: Column) -> Column:
+        return F.to_utc_timestamp(c, tz).cast("timestamp_ntz") if wall_clock else c
     agg = (stream.withWatermark(ts_col, watermark)
            .groupBy(F.window(ts_col, window).alias("w"), F.col(cat_col).alias("category"))
            .agg(F.count(F.lit(1)).alias("n")))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "category", F.col("n").cast("long").alias("n"),
+        batch.select(to_wall(F.col("w.start")).alias("window_start"), "category", F.col("n").cast("long").alias("n"),
                      F.lit(epoch).cast("long").alias("epoch")) \
             .write.mode("overwrite").parquet(f"{out}/updates/epoch={epoch}")
 
@@ -116,6 +124,10 @@ def window_drift(counts: DataFrame, expected: dict, tolerance: float) -> DataFra
     return out.withColumn("within_tolerance", F.col("deviation") <= F.lit(float(tolerance)))
 
 
+def schema_fields(schema) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
