@@ -66,3 +66,21 @@ def test_stream_per_batch_uniqueness(spark):
     per_epoch = spark.read.parquet(f"{base}/out/counts").collect()
     # duplicates are counted within each micro-batch: rows - distinct ids, summed over batches
     assert n_dup == sum(r.n for r in per_epoch) - 5 * len(per_epoch)
+
+
+def test_event_windows_ignore_session_time_zone(spark):
+    import duckdb
+
+    from cohortsmith.plans import io_queries
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted((str(r.window_start), r.category, r.n) for r in
+                     io_queries.stream_event_windows(spark, "/root/testdata/sf0.001").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    exp = sorted((str(a), b, c) for a, b, c in duckdb.sql(
+        "SELECT date_trunc('day', ts), event_type, count(*) FROM '/root/testdata/sf0.001/events.parquet' "
+        "GROUP BY ALL").fetchall())
+    assert got == exp
