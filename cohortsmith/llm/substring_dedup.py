@@ -12,9 +12,10 @@ the number of its equal windows, and neighbouring windows share a count, which m
 about seven times emptier.
 
 Pass 2 reads the documents again and keeps the windows that the sketch estimates as repeated:
-these alone are grouped, by a hash of 128 bits of the window's words. Within a task only the
+these alone are grouped, by 96 bits of two hashes of the window's words. Within a task only the
 first of equal windows goes on to the shuffle; the others are known to be repeated there and
-then, so a passage of a third of all documents reaches the shuffle once for each task.
+then, so a passage of a third of all documents reaches the shuffle once for each task. Windows
+travel in packed blocks, a block for each hash bucket; buckets grow in number with the corpus.
 Overestimates cost a shuffled row and change nothing; a repeated window is never missed.
 
 The sketch has 8 cells or more for each expected key, up to ``MAX_BITS``; what is broadcast is
@@ -34,9 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import need
@@ -46,20 +45,15 @@ GRAM = 8
 MIN_BITS, MAX_BITS = 20, 28
 #: Cells of a slice of the sketch, as a power of two.
 SLICE_BITS = 16
-#: Window rows that a task holds before it sends them on.
-HELD = 1_500_000
+#: Window rows, or counted keys, that a task holds before it sends them on.
+HELD = 1_000_000
+#: Words of the corpus for each bucket of the exact grouping.
+BUCKET_WORDS = 6_000_000
+#: Bytes of text that are hashed at a time (a longer text is hashed whole).
+CHUNK = 1 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-
-
-class _WordHashes(dict):
-    """Two independent 64-bit hashes of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 400_000:
-            self.clear()
-        h = xxhash.xxh3_128_intdigest(word)
-        self[word] = out = (h & (2**64 - 1), h >> 64)
-        return out
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,32 +62,97 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _runs(w: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 8-word grams and of the 20-word windows that start at each place."""
-    m = [_mix(np.array([salt * 64 + i + 1], np.uint64) * _M[0])[0] | np.uint64(1) for i in range(6)]
-    two = _mix(w[:-1] * m[0] + w[1:])
-    four = _mix(two[:-2] * m[1] + two[2:])
-    eight = _mix(four[:-4] * m[2] + four[4:])
-    sixteen = _mix(eight[:-8] * m[3] + eight[8:])
-    return eight, _mix(sixteen[:-4] * m[4] + four[16:])
+class _Hasher:
+    """64-bit hashes of words and of runs of words: polynomials modulo 2**64 in an odd point, over
+    random values of bytes, by prefix sums."""
+
+    def __init__(self, salt: int):
+        rng = np.random.default_rng(salt)
+        self.value = rng.integers(0, 2**64, 256, np.uint64)
+        self.point = int(rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
+        self.many = rng.integers(0, 2**63, 6, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            inverse = pow(self.point, -1, 2**64)
+            for name, x in (("up", self.point), ("down", inverse)):
+                p = np.full(n, x, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(data)
+        self._powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
+        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _M[0])
+
+    def runs(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the grams and of the windows that start at each word."""
+        m = self.many
+        two = w[:-1] * m[0] + w[1:]
+        four = two[:-2] * m[1] + two[2:]
+        eight = four[:-4] * m[2] + four[4:]
+        sixteen = eight[:-8] * m[3] + eight[8:]
+        return _mix(eight), _mix(sixteen[:-4] * m[4] + four[16:])
+
+
+def _sliding(op, a: np.ndarray) -> np.ndarray:
+    """``op`` over each run of WINDOW - GRAM + 1 = 13 neighbours."""
+    for step in (1, 2, 4):
+        a = op(a[:-step], a[step:])
+    return op(a[:-5], a[5:])
+
 
+def _keys(eight: np.ndarray) -> np.ndarray:
+    """The key of each window: the least hash of its grams."""
+    return _sliding(np.minimum, eight)
 
-def _keys(eight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per window: its key, and the place of the gram that gives it (the first of least hash)."""
-    n = len(eight) - (WINDOW - GRAM)
-    least, place = eight[:n].copy(), np.arange(n)
-    for o in range(1, WINDOW - GRAM + 1):
-        other = eight[o:o + n]
-        less = other < least
-        least[less] = other[less]
-        place[less] = np.flatnonzero(less) + o
-    return least, place
+
+def _counted(eight: np.ndarray, keys: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The hashes of the grams that give a valid window its key, each place once."""
+    wide = np.zeros(len(keys) + 24, np.uint64)
+    wide[12:12 + len(keys)] = np.where(valid, keys, 0)
+    top = _sliding(np.maximum, wide)
+    return eight[(top == eight) & (top > 0)]
 
 
 def _cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> np.uint64(64 - bits)).astype(np.int64), (_mix(keys * _M[4] + _M[1]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _chunks(batch: pa.RecordBatch):
+    """(first row, bytes, starts and ends of words, row of each word) of the texts, some at a time."""
+    text = batch.column("text").cast(pa.large_binary())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        part, bounds = data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+        inside = np.zeros(len(part) + 1, bool)
+        inside[:-1] = ~_SPACE[part]
+        edge = np.zeros(len(part) + 1, bool)
+        edge[bounds] = True
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | edge[1:]
+        ends = np.zeros(len(part) + 1, bool)
+        ends[1:] = inside[:-1] & (~inside[1:] | edge[1:])
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+        yield at, part, start, end, np.searchsorted(bounds, start, "right") - 1
+        at = to
+
+
+def _windows(batch: pa.RecordBatch, first: _Hasher):
+    """(first row, bytes, word starts, word ends, rows, grams, windows, keys, valid): the hashes of
+    a batch's texts, some at a time; windows over two texts are not valid."""
+    for at, part, start, end, row in _chunks(batch):
+        if len(start) >= WINDOW:
+            eight, twenty = first.runs(first.words(part, start, end))
+            yield at, part, start, end, row, eight, twenty, _keys(eight), row[:-WINDOW + 1] == row[WINDOW - 1:]
+
+
 def _pack_deltas(cells: np.ndarray) -> bytes:
     """Ascending distinct cells of one slice as bytes: differences, 255 adding to the next."""
     d = np.diff(cells, prepend=0)
@@ -108,19 +167,11 @@ def _unpack_deltas(raw: bytes) -> np.ndarray:
     return np.cumsum(a, dtype=np.int64)[a != 255]
 
 
-def _documents(batch: pa.RecordBatch, cache: _WordHashes):
-    """(row, words' two hashes) of the documents that have a window."""
-    for k, text in enumerate(batch.column("text").to_pylist()):
-        words = text.encode("utf-8", "replace").split() if text else []
-        if len(words) >= WINDOW:
-            yield k, np.array([cache[w] for w in words], np.uint64)
-
-
 def _sketch_parts(docs: DataFrame, bits: int) -> DataFrame:
     """(sketch_row, slice, once, more): the partitions' own sketches, packed."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, n = _WordHashes(), ([], []), 0
+        first, held, n = _Hasher(1), ([], []), 0
 
         def packed():
             for r in (0, 1):
@@ -140,12 +191,11 @@ def _sketch_parts(docs: DataFrame, bits: int) -> DataFrame:
 
         schema = pa.schema([("sketch_row", pa.int32()), ("slice", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
         for batch in batches:
-            for _, w in _documents(batch, cache):
-                key, place = _keys(_runs(w[:, 0], 0)[0])
-                fresh = np.flatnonzero(np.diff(place, prepend=-1))  # places never go back: each is counted once
-                for r, cells in enumerate(_cells(key[fresh], bits)):
+            for *_, eight, _, keys, valid in _windows(batch, first):
+                own = _counted(eight, keys, valid)
+                for r, cells in enumerate(_cells(own, bits)):
                     held[r].append(cells)
-                n += len(fresh)
+                n += len(own)
                 if n >= 4 * HELD:
                     yield from packed()
                     n = 0
@@ -184,16 +234,19 @@ def _merged(parts: DataFrame) -> DataFrame:
         each, "sketch_row int, slice int, repeated binary")
 
 
-def sketch_bits(docs: DataFrame) -> int:
-    """Cells of a sketch row, as a power of two: 8 for each expected key, within the bounds."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    keys = size / 6 / 6.5  # about 6 bytes a word, and two places in 13 + 1 words are counted
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, 8 * keys))))))
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def sketch(docs: DataFrame, bits: int | None = None) -> tuple[int, np.ndarray]:
+def sketch_bits(size: int) -> int:
+    """Cells of a sketch row for so many bytes of text, as a power of two: 8 for each expected key
+    (about 6 bytes a word; two places in 13 + 1 words are counted), within the bounds."""
+    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, 8 * size / 6 / 6.5))))))
+
+
+def sketch(docs: DataFrame, bits: int) -> tuple[int, np.ndarray]:
     """(bits, repeated): the merged sketch, two rows of packed bits, at most 64 MB together."""
-    bits = min(MAX_BITS, bits or sketch_bits(docs))
+    bits = min(MAX_BITS, max(SLICE_BITS, bits))
     slice_bytes = 1 << (SLICE_BITS - 3)
     whole = np.zeros((2, 1 << (bits - SLICE_BITS), slice_bytes), np.uint8)
     for row in _merged(_sketch_parts(docs, bits)).toLocalIterator(prefetchPartitions=True):
@@ -201,72 +254,145 @@ def sketch(docs: DataFrame, bits: int | None = None) -> tuple[int, np.ndarray]:
     return bits, whole.reshape(2, -1)
 
 
-_WINDOWS = "h1 long, h2 long, key_id long, text_id long, pos int, end int"
+def _packed(h1, h2, doc, pos, key, tid) -> bytes:
+    """A block of windows; ``doc`` indexes the documents' (key, tid), of which those it needs go along."""
+    used, doc = np.unique(doc, return_inverse=True)
+    return b"".join([np.array([len(h1), len(used)], np.int64).tobytes(), key[used].tobytes(), tid[used].tobytes(), h1.tobytes(),
+                     h2.astype(np.uint32).tobytes(), doc.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()])
+
+
+def _unpacked(raw: bytes) -> tuple:
+    n, docs = np.frombuffer(raw, np.int64, 2).tolist()
+    out, at = [], 16
+    for kind, count in ((np.int64, docs), (np.int64, docs), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    key, tid, h1, h2, doc, pos = out
+    return h1, h2, doc, pos, key, tid
+
 
+def _later(h1, h2, doc, pos, key, tid) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows in any order: those that are the first of their content, and those that are not.
+    A document that stands more than once counts once; a start equal to the first (documents of
+    one doc_id) is not later than it. Equal windows are found by 96 bits."""
+    order = np.lexsort((tid[doc], pos, key[doc], h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    k, p, t = key[doc[order]], pos[order], tid[doc[order]]
+    again = np.zeros(len(order), bool)
+    again[1:] = ~new[1:] & (k[1:] == k[:-1]) & (p[1:] == p[:-1]) & (t[1:] == t[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    least = (k == k[lead]) & (p == p[lead])
+    return order[least & ~again], order[~least & ~again]
 
-def _candidates(docs: DataFrame, shared, bits: int) -> DataFrame:
-    """Windows estimated as repeated. Rows with ``end`` null are the first of their content in a
-    task; rows with ``end`` are runs of starts [pos, end) known to be repeated."""
+
+def _starts(doc, pos, key, tid) -> Iterator[pa.RecordBatch]:
+    """Rows (key_id, text_id, starts) of the documents, the starts packed."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order].astype(np.int64)
+    at = np.flatnonzero(np.diff(doc.astype(np.int64), prepend=-1))
+    ends = np.append(at[1:], len(doc))
+    for lo in range(0, len(at), 20_000):
+        some = slice(lo, lo + 20_000)
+        blobs = [_pack_deltas(pos[a:b]) for a, b in zip(at[some].tolist(), ends[some].tolist())]
+        own = doc[at[some]]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int32()), pa.array(key[own]), pa.array(tid[own]), pa.array(blobs, pa.binary())], schema=_FOUND)
+
+
+_FOUND = pa.schema([("bucket", pa.int32()), ("key_id", pa.int64()), ("text_id", pa.int64()), ("data", pa.binary())])
+_FOUND_DDL = "bucket int, key_id long, text_id long, data binary"
+
+
+def _candidates(docs: DataFrame, shared, bits: int, buckets: int) -> DataFrame:
+    """Windows estimated as repeated: a row with a bucket is a block of windows that are the first
+    of their content in a task; a row without one holds starts known to be repeated."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, cache = shared.value, _WordHashes()
+        repeated, one, two = shared.value, _Hasher(1), _Hasher(2)
         held: list = []
+        docs_held: list = []
         n = 0
 
         def sent():
-            h1, h2, key, tid, pos = (np.concatenate(x) for x in zip(*held))
+            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*held))
+            key, tid = (np.concatenate(x) for x in zip(*docs_held))
             held.clear()
-            order = np.lexsort((tid, pos, key, h2, h1))
-            h1, h2, key, tid, pos = (x[order] for x in (h1, h2, key, tid, pos))
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
-            # a start equal to the first one (rows of one doc_id) is not later than it
-            same = (key == key[first]) & (pos == pos[first])
-            late = ~same
-            same[1:] &= new[1:] | (tid[1:] != tid[:-1])  # rows that repeat a document: once
-            yield from batches_of(h1[same], h2[same], key[same], tid[same], pos[same], None)
-            order = np.lexsort((pos[late], tid[late], key[late]))
-            key, tid, pos = (x[late][order] for x in (key, tid, pos))
-            if len(pos):
-                keep = np.ones(len(pos), bool)  # rows that repeat a document send a start once
-                keep[1:] = (key[1:] != key[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1])
-                key, tid, pos = key[keep], tid[keep], pos[keep]
-                cut = np.ones(len(pos), bool)
-                cut[1:] = (key[1:] != key[:-1]) | (tid[1:] != tid[:-1]) | (pos[1:] != pos[:-1] + 1)
-                at = np.flatnonzero(cut)
-                ends = np.append(at[1:], len(pos)) - 1
-                zero = np.zeros(len(at), np.uint64)
-                yield from batches_of(zero, zero, key[at], tid[at], pos[at], pos[ends] + 1)
-
-        def batches_of(h1, h2, key, tid, pos, end):
-            for at in range(0, len(h1), 50_000):
-                s = slice(at, at + 50_000)
+            docs_held.clear()
+            lead, late = _later(h1, h2, doc, pos, key, tid)
+            if len(late):
+                yield from _starts(doc[late], pos[late], key, tid)
+            bucket = (h1[lead] >> np.uint64(33)).astype(np.int64) * buckets >> 31
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))  # ascending, as the hashes are
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(lead)]):
+                own = lead[a:b]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h1[s].view(np.int64)), pa.array(h2[s].view(np.int64)), pa.array(key[s]), pa.array(tid[s]), pa.array(pos[s].astype(np.int32)),
-                    pa.nulls(len(h1[s]), pa.int32()) if end is None else pa.array(end[s].astype(np.int32))], schema=schema)
+                    pa.array([int(bucket[a])], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                    pa.array([_packed(h1[own], h2[own], doc[own], pos[own], key, tid)], pa.binary())], schema=_FOUND)
 
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key_id", pa.int64()), ("text_id", pa.int64()), ("pos", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             key_id, text_id = (batch.column(c).to_numpy() for c in ("key_id", "text_id"))
-            for k, w in _documents(batch, cache):
-                eight, h1 = _runs(w[:, 0], 0)
-                key, _ = _keys(eight)
-                maybe = np.ones(len(key), bool)
-                for r, cells in enumerate(_cells(key, bits)):
+            for at, part, start, end, row, _, h1, keys, valid in _windows(batch, one):
+                maybe = valid.copy()
+                for r, cells in enumerate(_cells(keys, bits)):
                     maybe &= (repeated[r][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
-                pos = np.flatnonzero(maybe)
-                if len(pos):
-                    h2 = _runs(w[:, 1], 1)[1]
-                    held.append((h1[pos], h2[pos], np.full(len(pos), key_id[k]), np.full(len(pos), text_id[k]), pos))
-                    n += len(pos)
+                i = np.flatnonzero(maybe)
+                if not len(i):
+                    continue
+                h2 = two.runs(two.words(part, start, end))[1]
+                begin = np.searchsorted(row, np.arange(row[-1] + 1))  # each text's first word
+                doc0 = sum(len(x[0]) for x in docs_held)
+                held.append((h1[i], (h2[i] >> np.uint64(32)).astype(np.uint32), (doc0 + row[i]).astype(np.uint32), (i - begin[row[i]]).astype(np.uint32)))
+                docs_held.append((key_id[at:at + row[-1] + 1], text_id[at:at + row[-1] + 1]))
+                n += len(i)
                 if n >= HELD:
                     yield from sent()
                     n = 0
-        if held:
+        if n:
             yield from sent()
 
-    return docs.mapInArrow(each, _WINDOWS)
+    return docs.mapInArrow(each, _FOUND_DDL)
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    """(key_id, text_id, data): starts whose windows also start earlier, by streaming the buckets."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done():
+            parts = [_unpacked(x) for x in held]
+            held.clear()
+            base = np.cumsum([0, *(len(p[4]) for p in parts)])
+            h1, h2, pos, key, tid = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
+            doc = np.concatenate([p[2] + np.uint32(b) for p, b in zip(parts, base)])
+            late = _later(h1, h2, doc, pos, key, tid)[1]
+            if len(late):
+                # a document stands in several blocks: its starts meet in one row
+                order = np.lexsort((tid, key))
+                k, t = key[order], tid[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+                number = np.empty(len(k), np.uint32)
+                number[order] = np.cumsum(new) - 1
+                yield from _starts(number[doc[late]], pos[late], k[new], t[new])
+
+        for batch in batches:
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    if held:
+                        yield from done()
+                    now = bucket
+                if bucket is None:
+                    yield batch.slice(i, 1)
+                else:
+                    held.append(batch.column("data")[i].as_py())
+        if held:
+            yield from done()
+
+    n = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = F.coalesce("bucket", F.pmod(F.xxhash64("key_id"), F.lit(n)).cast("int"))
+    return found.withColumn("deal", deal).repartition(n, "deal").sortWithinPartitions("bucket").drop("deal").mapInArrow(
+        each, _FOUND_DDL).drop("bucket")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -276,34 +402,29 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, bits: int | None = None) -> DataFrame:
-    """(key_id, text_id, pos, end): runs of window starts of each document whose windows also
-    start earlier."""
+    """(key_id, text_id, data): for each document, rows of packed starts of windows that also start
+    earlier."""
     own = _identified(docs)
-    bits, whole = sketch(own, bits)
+    size = text_bytes(docs)
+    bits, whole = sketch(own, bits or sketch_bits(size))
     shared = docs.sparkSession.sparkContext.broadcast(whole)
-    found = _candidates(own.select("text", "key_id", "text_id"), shared, bits)
-    # one pass over the texts: runs that are settled get a group by their own place and pass through
-    settled = F.col("end").isNotNull()
-    group = [F.when(settled, F.xxhash64("key_id", "pos")).otherwise(F.col("h1")).alias("h1"), F.col("h2")]
-    first = W.partitionBy("h1", "h2", "settled")
-    at = F.struct("key_id", "pos")
-    ranked = found.select(*group, "key_id", "text_id", "pos", "end", settled.alias("settled")).withColumn("first", F.min(at).over(first))
-    return ranked.where(F.col("settled") | (at > F.col("first"))).select(
-        "key_id", "text_id", "pos", F.coalesce("end", F.col("pos") + 1).alias("end"))
-
-
-def _covered(n: int, starts: list, ends: list) -> np.ndarray:
-    """The words covered by the windows that start in the runs."""
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * BUCKET_WORDS)))
+    return _grouped(_candidates(own.select("text", "key_id", "text_id"), shared, bits, buckets))
+
+
+def _covered(n: int, blobs: list[bytes]) -> np.ndarray:
+    """The words covered by the windows that start where the blobs say."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.array(starts, np.int64), 1)
-    np.add.at(edge, np.minimum(np.array(ends, np.int64) - 1 + WINDOW, n), -1)
+    for raw in blobs:
+        starts = _unpack_deltas(raw)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + WINDOW, -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def remove_repeats(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    runs = repeated_starts(docs, bits).groupBy("key_id", "text_id").agg(
-        F.collect_list("pos").alias("starts"), F.collect_list("end").alias("ends"))
+    runs = repeated_starts(docs, bits).groupBy("key_id", "text_id").agg(F.collect_list("data").alias("starts"))
     own = _identified(docs)
     id_type = own.schema["doc_id"].dataType
     schema = "doc_id long, n_words long, n_removed long, kept string"
@@ -311,11 +432,11 @@ def remove_repeats(docs: DataFrame, bits: int | None = None) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"doc_id": b.column("doc_id"), "n_words": [], "n_removed": [], "kept": []}
-            for text, starts, ends in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ends"))):
+            for text, starts in zip(*(b.column(c).to_pylist() for c in ("text", "starts"))):
                 words = text.encode("utf-8", "replace").split() if text else []
                 n = len(words)
                 if starts:
-                    gone = _covered(n, starts, ends)
+                    gone = _covered(n, starts)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 out["n_words"].append(n)
                 out["n_removed"].append(n - len(words))
@@ -324,7 +445,7 @@ def remove_repeats(docs: DataFrame, bits: int | None = None) -> DataFrame:
                 [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
     joined = own.join(runs, ["key_id", "text_id"], "left")
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts", "ends").mapInArrow(each, schema).withColumn(
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts").mapInArrow(each, schema).withColumn(
         "doc_id", F.col("doc_id").cast(id_type))
 
 

@@ -64,11 +64,25 @@ def test_deltas_round_trip():
     assert D._unpack_deltas(D._pack_deltas(np.array([0, 255, 510, 65535]))).tolist() == [0, 255, 510, 65535]
 
 
-def test_sketch_never_misses_a_repeated_key():
+def test_every_repeated_window_is_counted_twice():
     rng = np.random.default_rng(4)
     w = rng.integers(0, 2**63, 200).astype(np.uint64)
     both = np.concatenate([w[50:100], rng.integers(0, 2**63, 30).astype(np.uint64), w])
-    eight, twenty = D._runs(both, 0)
-    key, place = D._keys(eight)
-    assert (np.diff(place) >= 0).all()
-    assert [key[i] for i in range(31)] == [key[80 + 50 + i] for i in range(31)] and len(twenty) == len(key)
+    h = D._Hasher(1)
+    eight, twenty = h.runs(both)
+    keys = D._keys(eight)
+    assert len(twenty) == len(keys) == len(both) - 19
+    counted = D._counted(eight, keys, np.ones(len(keys), bool)).tolist()
+    for i in range(31):
+        assert keys[i] == keys[80 + 50 + i] and twenty[i] == twenty[130 + i] and counted.count(keys[i]) >= 2
+    assert set(keys.tolist()) == set(counted) and len(set(twenty.tolist())) == len(twenty) - 31
+
+
+def test_words_hash_by_content_alone():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["", "ab  cd\n", None, "cd", "x", "ab\tab é"])})
+    got = [(at + int(r), bytes(part[s:e])) for at, part, start, end, row in D._chunks(batch) for s, e, r in zip(start, end, row)]
+    assert got == [(1, b"ab"), (1, b"cd"), (3, b"cd"), (4, b"x"), (5, b"ab"), (5, b"ab"), (5, "é".encode())]
+    (_, part, start, end, _), = D._chunks(batch)
+    h = D._Hasher(1).words(part, start, end).tolist()
+    assert h[0] == h[4] == h[5] and h[1] == h[2] and len(set(h)) == 4
