@@ -286,26 +286,70 @@ def _later(h1, h2, doc, pos, key, tid) -> tuple[np.ndarray, np.ndarray]:
     return order[least & ~again], order[~least & ~again]
 
 
-def _starts(doc, pos, key, tid) -> Iterator[pa.RecordBatch]:
-    """Rows (key_id, text_id, starts) of the documents, the starts packed."""
+def _by_document(key, tid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, key, tid): each entry's document number, and the documents, each once."""
+    order = np.lexsort((tid, key))
+    k, t = key[order], tid[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, k[new], t[new]
+
+
+def _packed_starts(doc, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, bytes of each, all bytes): ascending distinct starts as differences, 255 adding
+    to the next."""
     order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order].astype(np.int64)
-    at = np.flatnonzero(np.diff(doc.astype(np.int64), prepend=-1))
-    ends = np.append(at[1:], len(doc))
-    for lo in range(0, len(at), 20_000):
-        some = slice(lo, lo + 20_000)
-        blobs = [_pack_deltas(pos[a:b]) for a, b in zip(at[some].tolist(), ends[some].tolist())]
-        own = doc[at[some]]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int32()), pa.array(key[own]), pa.array(tid[own]), pa.array(blobs, pa.binary())], schema=_FOUND)
+    doc, pos = doc[order].astype(np.int64), pos[order].astype(np.int64)
+    keep = np.ones(len(doc), bool)
+    keep[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    doc, pos = doc[keep], pos[keep]
+    at = np.flatnonzero(np.diff(doc, prepend=-1))
+    d = np.diff(pos, prepend=0)
+    d[at] = pos[at]
+    size = d // 255 + 1
+    raw = np.full(int(size.sum()), 255, np.uint8)
+    raw[np.cumsum(size) - 1] = d % 255
+    return doc[at], np.add.reduceat(size, at), raw
+
+
+def _starts_block(doc, pos, key, tid) -> bytes:
+    docs, sizes, raw = _packed_starts(doc, pos)
+    return b"".join([np.int64(len(docs)).tobytes(), key[docs].tobytes(), tid[docs].tobytes(), sizes.astype(np.int64).tobytes(), raw.tobytes()])
+
+
+def _starts_of(raw: bytes) -> tuple:
+    """(doc, pos, key, tid) of a block."""
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    key, tid, sizes = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(3))
+    a = np.frombuffer(raw, np.uint8, -1, 8 + 24 * n)
+    ends = a != 255
+    doc = np.repeat(np.arange(n), sizes)
+    sums = np.cumsum(a, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    before = np.where(first > 0, sums[first - 1], 0)
+    return doc[ends], (sums - before[doc])[ends], key, tid
+
+
+_FOUND = pa.schema([("bucket", pa.int32()), ("place", pa.int32()), ("data", pa.binary())])
+_FOUND_DDL = "bucket int, place int, data binary"
 
 
-_FOUND = pa.schema([("bucket", pa.int32()), ("key_id", pa.int64()), ("text_id", pa.int64()), ("data", pa.binary())])
-_FOUND_DDL = "bucket int, key_id long, text_id long, data binary"
+def _to_places(doc, pos, key, tid, places: int) -> Iterator[pa.RecordBatch]:
+    """Rows (no bucket, place, block) of starts, dealt by their document."""
+    place = (_mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int64) * places >> 31
+    own = place[doc]
+    order = np.argsort(own, kind="stable")
+    cut = np.flatnonzero(np.diff(own[order], prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+        i = order[a:b]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([int(own[i[0]])], pa.int32()), pa.array([_starts_block(doc[i], pos[i], key, tid)], pa.binary())], schema=_FOUND)
 
 
 def _candidates(docs: DataFrame, shared, bits: int, buckets: int) -> DataFrame:
     """Windows estimated as repeated: a row with a bucket is a block of windows that are the first
-    of their content in a task; a row without one holds starts known to be repeated."""
+    of their content in a task; a row with a place is a block of starts known to be repeated."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, one, two = shared.value, _Hasher(1), _Hasher(2)
@@ -320,13 +364,13 @@ def _candidates(docs: DataFrame, shared, bits: int, buckets: int) -> DataFrame:
             docs_held.clear()
             lead, late = _later(h1, h2, doc, pos, key, tid)
             if len(late):
-                yield from _starts(doc[late], pos[late], key, tid)
+                yield from _to_places(doc[late], pos[late], key, tid, buckets)
             bucket = (h1[lead] >> np.uint64(33)).astype(np.int64) * buckets >> 31
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))  # ascending, as the hashes are
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(lead)]):
                 own = lead[a:b]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([int(bucket[a])], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                    pa.array([int(bucket[a])], pa.int32()), pa.nulls(1, pa.int32()),
                     pa.array([_packed(h1[own], h2[own], doc[own], pos[own], key, tid)], pa.binary())], schema=_FOUND)
 
         for batch in batches:
@@ -353,46 +397,58 @@ def _candidates(docs: DataFrame, shared, bits: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(each, _FOUND_DDL)
 
 
-def _grouped(found: DataFrame) -> DataFrame:
-    """(key_id, text_id, data): starts whose windows also start earlier, by streaming the buckets."""
+def _by_key(rows: DataFrame, key: str, done, schema: str) -> DataFrame:
+    """Deal the rows by ``key`` and stream them in its order: ``done`` gets the blocks of a key."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-
-        def done():
-            parts = [_unpacked(x) for x in held]
-            held.clear()
-            base = np.cumsum([0, *(len(p[4]) for p in parts)])
-            h1, h2, pos, key, tid = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
-            doc = np.concatenate([p[2] + np.uint32(b) for p, b in zip(parts, base)])
-            late = _later(h1, h2, doc, pos, key, tid)[1]
-            if len(late):
-                # a document stands in several blocks: its starts meet in one row
-                order = np.lexsort((tid, key))
-                k, t = key[order], tid[order]
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-                number = np.empty(len(k), np.uint32)
-                number[order] = np.cumsum(new) - 1
-                yield from _starts(number[doc[late]], pos[late], k[new], t[new])
-
         for batch in batches:
-            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                if bucket != now:
+            for i, k in enumerate(batch.column(key).to_pylist()):
+                if k != now:
                     if held:
-                        yield from done()
-                    now = bucket
-                if bucket is None:
+                        yield from done(held)
+                    now, held = k, []
+                if k is None:
                     yield batch.slice(i, 1)
                 else:
                     held.append(batch.column("data")[i].as_py())
         if held:
-            yield from done()
-
-    n = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    deal = F.coalesce("bucket", F.pmod(F.xxhash64("key_id"), F.lit(n)).cast("int"))
-    return found.withColumn("deal", deal).repartition(n, "deal").sortWithinPartitions("bucket").drop("deal").mapInArrow(
-        each, _FOUND_DDL).drop("bucket")
+            yield from done(held)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.coalesce(*[c for c in ("bucket", "place") if c in rows.columns])
+    return rows.withColumn("deal", deal).repartition(n, "deal").sortWithinPartitions(key).drop("deal").mapInArrow(each, schema)
+
+
+def _grouped(found: DataFrame, places: int) -> DataFrame:
+    """(key_id, text_id, starts): each document's starts whose windows also start earlier."""
+
+    def compare(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpacked(x) for x in blocks]
+        base = np.cumsum([0, *(len(p[4]) for p in parts)])
+        h1, h2, pos, key, tid = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
+        doc = np.concatenate([p[2] + np.uint32(b) for p, b in zip(parts, base)])
+        late = _later(h1, h2, doc, pos, key, tid)[1]
+        if len(late):
+            number, key, tid = _by_document(key, tid)
+            yield from _to_places(number[doc[late]], pos[late], key, tid, places)
+
+    def gather(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_starts_of(x) for x in blocks]
+        base = np.cumsum([0, *(len(p[2]) for p in parts)])
+        doc = np.concatenate([p[0] + b for p, b in zip(parts, base)])
+        number, key, tid = _by_document(*(np.concatenate([p[i] for p in parts]) for i in (2, 3)))
+        docs, sizes, raw = _packed_starts(number[doc], np.concatenate([p[1] for p in parts]))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        for a in range(0, len(docs), 5_000):
+            b = min(a + 5_000, len(docs))
+            own = raw[ends[a]:ends[b]]
+            blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends[a:b + 1] - ends[a]).astype(np.int32)), pa.py_buffer(own.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(key[docs[a:b]]), pa.array(tid[docs[a:b]]), blobs],
+                                             names=["key_id", "text_id", "starts"])
+
+    late = _by_key(found, "bucket", compare, _FOUND_DDL).drop("bucket")
+    return _by_key(late, "place", gather, "key_id long, text_id long, starts binary")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -402,29 +458,26 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, bits: int | None = None) -> DataFrame:
-    """(key_id, text_id, data): for each document, rows of packed starts of windows that also start
-    earlier."""
+    """(key_id, text_id, starts): each document's packed starts of windows that also start earlier."""
     own = _identified(docs)
     size = text_bytes(docs)
     bits, whole = sketch(own, bits or sketch_bits(size))
     shared = docs.sparkSession.sparkContext.broadcast(whole)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * BUCKET_WORDS)))
-    return _grouped(_candidates(own.select("text", "key_id", "text_id"), shared, bits, buckets))
+    return _grouped(_candidates(own.select("text", "key_id", "text_id"), shared, bits, buckets), buckets)
 
 
-def _covered(n: int, blobs: list[bytes]) -> np.ndarray:
-    """The words covered by the windows that start where the blobs say."""
-    edge = np.zeros(n + 1, np.int64)
-    for raw in blobs:
-        starts = _unpack_deltas(raw)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + WINDOW, -1)
+def _covered(n: int, packed: bytes) -> np.ndarray:
+    """The words covered by the windows that start where the packed starts say."""
+    starts, edge = _unpack_deltas(packed), np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + WINDOW, -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def remove_repeats(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
-    runs = repeated_starts(docs, bits).groupBy("key_id", "text_id").agg(F.collect_list("data").alias("starts"))
+    runs = repeated_starts(docs, bits)
     own = _identified(docs)
     id_type = own.schema["doc_id"].dataType
     schema = "doc_id long, n_words long, n_removed long, kept string"
