@@ -9,13 +9,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, simhash, substring_dedup
+from . import bin_packing, decontaminate, simhash, substring_dedup, template_removal, warc_merge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_merge.page_records(warc_merge.capture_index(_table(spark, sf_dir, "pages")))
+
+
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_removal.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -29,7 +41,9 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_countmin_substring_dedup, op9_best_fit_packing, op10_simhash_components)
+    f.__name__: f for f in (
+        op1_warc_index_merge, op4_qgram_decontamination, op6_site_template_removal, op8_countmin_substring_dedup,
+        op9_best_fit_packing, op10_simhash_components)
 }
 
 #: DuckDB statements over the same tables, where SQL can express the query.
