@@ -8,8 +8,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bin_packing, decontaminate, simhash, substring_dedup, template_removal, warc_merge
+from . import (
+    bin_packing,
+    chat_prefix,
+    decontaminate,
+    line_frequency,
+    simhash,
+    substring_dedup,
+    template_removal,
+    uniform_shuffle,
+    warc_merge,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +31,23 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_merge.page_records(warc_merge.capture_index(_table(spark, sf_dir, "pages")))
 
 
+def op2_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = uniform_shuffle.shuffle(uniform_shuffle.sizes(_table(spark, sf_dir, "documents")), 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_chat_prefix_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_prefix.collapse_and_render(_table(spark, sf_dir, "conversations"))
+
+
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(_table(spark, sf_dir, "documents"), host="source")
+
+
 def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_removal.extract(_table(spark, sf_dir, "pages"))
 
@@ -42,9 +66,13 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc_index_merge, op4_qgram_decontamination, op6_site_template_removal, op8_countmin_substring_dedup,
+        op1_warc_index_merge, op2_hypergeometric_shuffle, op3_chat_prefix_collapse, op4_qgram_decontamination, op5_line_frequency_rules,
+        op6_site_template_removal, op8_countmin_substring_dedup,
         op9_best_fit_packing, op10_simhash_components)
 }
 
 #: DuckDB statements over the same tables, where SQL can express the query.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat_prefix_collapse": chat_prefix.SQL,
+    "op5_line_frequency_rules": line_frequency.SQL,
+}

@@ -33,7 +33,7 @@ EDGES = [(90001, None, None), (90002, "", ""), (90003, "http://a.b/\r\nX: y", "
 @pytest.mark.parametrize("least", [0, 5])
 def test_round_trip(spark, monkeypatch, least):
     monkeypatch.setattr(M, "RANGE", 12)
-    monkeypatch.setattr(M, "ARCHIVE", 40)
+    monkeypatch.setattr(M, "ARCHIVE", 12)
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()] + EDGES
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_bytes", F.lit("x")).repartition(5)
     got = M.page_records(M.capture_index(pages, least)).collect()
