@@ -15,6 +15,7 @@ from . import (
     chat_prefix,
     decontaminate,
     line_frequency,
+    pii_boost,
     simhash,
     substring_dedup,
     template_removal,
@@ -52,6 +53,10 @@ def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_removal.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -67,7 +72,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_index_merge, op2_hypergeometric_shuffle, op3_chat_prefix_collapse, op4_qgram_decontamination, op5_line_frequency_rules,
-        op6_site_template_removal, op8_countmin_substring_dedup,
+        op6_site_template_removal, op7_boosted_pii, op8_countmin_substring_dedup,
         op9_best_fit_packing, op10_simhash_components)
 }
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex64, need, stored
+from .common import fresh, hex64, need, stored
 
 #: (length, check bits, generator polynomial, covering radius) of perfect cyclic codes.
 GOLAY = (23, 11, 0b101011100011, 3)
@@ -59,16 +59,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+    """(doc_id, t, fp) for every row: t is a hash of the text, fp the fingerprint, both long."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "fp": fp.view(np.int64)})
 
     narrow = need(docs, "doc_id", "text")
-    return narrow.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        each, "doc_id string, fp long").select(F.col("doc_id").cast(narrow.schema["doc_id"].dataType).alias("doc_id"), "fp")
+    return narrow.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInPandas(
+        each, "doc_id string, t long, fp long").withColumn("doc_id", F.col("doc_id").cast(narrow.schema["doc_id"].dataType))
 
 
 def _syndromes(words: np.ndarray, n: int, check: int, poly: int) -> np.ndarray:
@@ -154,22 +154,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, code=CODE) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint, component_id (the smallest doc_id reachable)."""
+def _labelled(docs: DataFrame, shingle: int, bits: int, code) -> DataFrame:
+    """(doc_id, t, fp, root, component_id) per row of ``docs``."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     member = components(links(classes.select("fp"), bits, code))
     rooted = classes.join(member, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # few fingerprints are linked; the rest carry their own smallest id
-    label = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return fps.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """``docs`` with one row for each component: the row of the smallest doc_id; of rows that
-    repeat that doc_id, one. Rows without doc_id go where their component has an id."""
-    found = simhash_components(docs, shingle, bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, code=CODE) -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint, component_id (the smallest doc_id reachable)."""
+    return _labelled(docs, shingle, bits, code).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 3, bits: int = 2, code=CODE) -> DataFrame:
+    """``docs`` with one row for each component: a row of its smallest doc_id (null only where all its
+    ids are null); of several such rows, one of the least text hash."""
+    of, text = fresh(docs, "_of"), fresh(docs, "_text")
+    lead = _labelled(docs, shingle, bits, code).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = lead.groupBy("root").agg(F.min(F.struct("t", "doc_id")).alias("row")).select(F.col("row.doc_id").alias(of), F.col("row.t").alias(text)).distinct()
+    marked = docs.withColumn(text, F.xxhash64("text"))
+    own = marked.join(kept, marked["doc_id"].eqNullSafe(kept[of]) & (marked[text] == kept[text]), "left_semi")
+    return own.dropDuplicates(["doc_id", text]).drop(text)

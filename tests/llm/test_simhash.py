@@ -95,9 +95,12 @@ def test_empty_table_and_extra_columns(spark):
 
 def test_deduplicate_keeps_one_row_of_each_group(spark):
     long = " ".join(f"w{i}" for i in range(400))
-    df = spark.createDataFrame([(5, long, "a"), (3, long, "b"), (3, long, "b"), (9, "other words here " * 9, "c")],
+    other, third = "other words here " * 9, "and a third text of some words"
+    df = spark.createDataFrame([(5, long, "a"), (3, long, "b"), (3, long, "b"), (9, other, "c"), (None, long, "d"), (9, third, "e"),
+                                (None, "null one two three", "f"), (None, "null one two three", "f"), (None, "null four five six seven", "g")],
                                "doc_id long, text string, source string")
-    assert sorted(map(tuple, S.deduplicate(df).select("doc_id", "source").collect())) == [(3, "b"), (9, "c")]
+    got = sorted(map(tuple, S.deduplicate(df).select("doc_id", "source").collect()), key=str)
+    assert got == sorted([(3, "b"), (9, "c"), (9, "e"), (None, "f"), (None, "g")], key=str)
 
 
 @pytest.mark.parametrize("text", ["", "x", "a b", "a b c", "A b C d " * 70000])
