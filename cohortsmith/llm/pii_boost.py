@@ -69,17 +69,43 @@ FEATURES = ("kind", "digits", "chars", "marks", "groups", "longest", "luhn", "oc
 _CHUNK = 256
 
 
-def sums_before(lengths: Column) -> Column:
-    """The sums of the elements before each element, in blocks: a long array costs no square."""
+def before(values: Column, join) -> Column:
+    """For each element of an int array the sum (or what ``join`` of two makes, from 0) of the elements
+    before it, in blocks: a long array costs no square."""
+    fold = lambda c: F.aggregate(c, F.lit(0), join)
 
     def body(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / _CHUNK).cast("int")), lambda c: F.aggregate(
-            F.slice(x, c * _CHUNK + 1, F.lit(_CHUNK)), F.lit(0), lambda a, v: a + v))
-        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
-        return let(starts, lambda s: F.transform(x, lambda v, i: F.get(s, F.floor(i / _CHUNK).cast("int")) + F.aggregate(
-            F.slice(x, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK), F.lit(0), lambda a, w: a + w)))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / _CHUNK).cast("int")), lambda c: fold(F.slice(x, c * _CHUNK + 1, F.lit(_CHUNK))))
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(join(F.element_at(a, -1), v))))
+        return let(starts, lambda s: F.transform(x, lambda v, i: join(F.get(s, F.floor(i / _CHUNK).cast("int")), fold(
+            F.slice(x, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, i % _CHUNK)))))
+
+    return let(values, body)
+
+
+def sums_before(lengths: Column) -> Column:
+    return before(lengths, lambda a, b: a + b)
+
 
-    return let(lengths, body)
+def _counts(points: Column, marks: Column, inclusive: bool) -> Column:
+    """How many of ``marks`` are below each of ``points`` (or equal, if inclusive), by one sort."""
+    first, second = (0, 1) if inclusive else (1, 0)
+    events = F.concat(F.transform(marks, lambda m: F.struct(m.alias("at"), F.lit(first).alias("o"), F.lit(-1).alias("i"), F.lit(1).alias("v"))),
+                      F.transform(points, lambda p, i: F.struct(p.alias("at"), F.lit(second).alias("o"), i.alias("i"), F.lit(0).alias("v"))))
+
+    def body(e: Column) -> Column:
+        return let(sums_before(F.transform(e, lambda x: x["v"])), lambda n: F.transform(F.array_sort(F.filter(
+            F.transform(e, lambda x, k: F.struct(x["i"].alias("i"), F.get(n, k).alias("n"))), lambda x: x["i"] >= 0)), lambda x: x["n"]))
+
+    return let(F.array_sort(events), body)
+
+
+def overlaps(spans: Column, others: Column) -> Column:
+    """For each span whether it overlaps one of ``others``: more of them start before its end than
+    end up to its start."""
+    begun = _counts(F.transform(spans, lambda m: m["e"]), F.transform(others, lambda m: m["s"]), False)
+    over = _counts(F.transform(spans, lambda m: m["s"]), F.transform(others, lambda m: m["e"]), True)
+    return F.when(F.size(others) == 0, F.transform(spans, lambda m: F.lit(False))).otherwise(F.zip_with(begun, over, lambda a, b: a > b))
 
 
 _SPAN = "array<struct<s:int,e:int,x:string,before:string,after:string>>"
@@ -141,33 +167,42 @@ def _features(kind: str, m: Column) -> list[Column]:
     return [v.alias(n) for n, v in zip(FEATURES, values)]
 
 
-def _proposed(text: Column, kind: str, base: Column, others: Column) -> Column:
-    """The generators' spans with their features: base spans (label 1); spans over another kind's base
+def _labelled(kind: str) -> Column:
+    """The kind's proposals with their features: base spans (label 1); spans over another kind's base
     span, and spans that overlap none and fail the test (0); and those that overlap none and pass it
     or are of another spelling (null). Spans ``taken`` by a base span are not added."""
-    loose = F.concat(base, *[spans_of(text, p, _HINT[kind]) for p in PROPOSE[kind]])
     spelled = F.lit(r"\[at\]|\(at\)|\[dot\]|\(dot\)|^\(|^\+|@ | @")
 
-    def one(m: Column) -> Column:
-        own = F.exists(base, lambda b: (b["s"] == m["s"]) & (b["e"] == m["e"]))
-        over = F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
-        taken = F.exists(others, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
-        label = F.when(own, 1.0).when(over, -1.0).when(taken, 0.0).when(~passes(kind, m["x"]) & ~F.regexp_like(m["x"], spelled), 0.0)
-        return F.struct(F.lit(kind).alias("of"), m["s"].alias("s"), m["e"].alias("e"), label.alias("label"), (own | over | taken).alias("taken"), *_features(kind, m))
+    def row(m: Column, label: Column, taken: Column) -> Column:
+        return F.struct(F.lit(kind).alias("of"), m["s"].alias("s"), m["e"].alias("e"), label.alias("label"), taken.alias("taken"), *_features(kind, m))
 
-    def body(found: Column) -> Column:
-        return F.filter(F.transform(found, one), lambda m: F.coalesce(m["label"] >= 0, F.lit(True)))
+    def one(m: Column, own: Column, taken: Column) -> Column:
+        return row(m, F.when(own, -1.0).when(taken, 0.0).when(~passes(kind, m["x"]) & ~F.regexp_like(m["x"], spelled), 0.0), own | taken)
 
-    return F.when(F.size(loose) > 0, let(F.array_distinct(loose), body))
+    other = let(F.col(f"own_{kind}"), lambda own: let(F.col(f"taken_{kind}"), lambda taken: F.transform(
+        f"once_{kind}", lambda m, i: one(m, F.get(own, i), F.get(taken, i)))))
+    return F.concat(F.transform(f"b_{kind}", lambda m: row(m, F.lit(1.0), F.lit(True))), F.filter(other, lambda m: F.coalesce(m["label"] >= 0, F.lit(True))))
+
+
+def with_spans(rows: DataFrame, propose: bool = True) -> DataFrame:
+    """``rows`` (text not null) with b_<kind>, the base spans, and the array ``proposed``. Each step is a
+    column of its own, and a column that a lambda reads is bound first, so nothing is computed anew
+    for every element."""
+    columns, text = rows.columns, F.col("text")
+    out = rows.withColumns({f"b_{k}": base_spans(text, k) for k in KINDS})
+    if not propose:
+        return out
+    differs = lambda x: F.filter(x, lambda m, i: (i == 0) | (F.get(x, i - 1)["s"] != m["s"]) | (F.get(x, i - 1)["e"] != m["e"]))
+    out = out.withColumns({f"loose_{k}": F.array_sort(F.concat(*[spans_of(text, p, _HINT[k]) for p in PROPOSE[k]])) for k in KINDS})
+    out = out.withColumns({f"once_{k}": let(F.col(f"loose_{k}"), differs) for k in KINDS})
+    out = out.withColumns({f"others_{k}": F.concat(*[F.col(f"b_{x}") for x in KINDS if x != k]) for k in KINDS})
+    out = out.withColumns({f"own_{k}": overlaps(F.col(f"once_{k}"), F.col(f"b_{k}")) for k in KINDS} | {
+        f"taken_{k}": overlaps(F.col(f"once_{k}"), F.col(f"others_{k}")) for k in KINDS})
+    return out.withColumn("proposed", F.concat(*[_labelled(k) for k in KINDS])).select(*columns, *[f"b_{k}" for k in KINDS], "proposed")
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and for each kind its base spans; and all kinds' proposals in one array."""
-    own = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    found = own.withColumns({f"b_{k}": base_spans(F.col("text"), k) for k in KINDS})
-    others = {k: F.concat(*[F.col(f"b_{x}") for x in KINDS if x != k]) for k in KINDS}
-    marked = found.withColumns({f"p_{k}": _proposed(F.col("text"), k, F.col(f"b_{k}"), others[k]) for k in KINDS})
-    return marked.withColumn("proposed", F.flatten(F.filter(F.array(*[F.col(f"p_{k}") for k in KINDS]), lambda a: a.isNotNull()))).drop(*[f"p_{k}" for k in KINDS])
+    return with_spans(need(docs, "text").select(F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _tree(node, value) -> Column:
@@ -223,19 +258,24 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(gbt, thresholds) if thresholds else None
 
 
-def find(docs: DataFrame, model: Model | None | str = "train") -> DataFrame:
-    """(doc_id, text, base, spans): arrays of (s, kind number, e), sorted; ``base`` of the rules alone."""
-    found = proposals(docs)
-    if model == "train":
-        model = train(found)
+def _searched(rows: DataFrame, model: Model | None) -> DataFrame:
+    """``rows`` with base and spans: sorted arrays of (s, kind number k, e), ``base`` of the rules alone."""
     mark = lambda k: F.transform(f"b_{k}", lambda m: F.struct(m["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), m["e"].alias("e")))
-    base = F.array_sort(F.concat(*[mark(k) for k in KINDS]))
+    base = F.array_sort(F.concat(*[mark(k) for k in KINDS])).alias("base")
+    found = with_spans(rows, model is not None)
     if model is None:
-        return found.select("doc_id", "text", base.alias("base"), base.alias("spans"))
+        return found.select(*rows.columns, base).withColumn("spans", F.col("base"))
     more = F.transform(F.filter("proposed", lambda m: ~m["taken"] & model.accepts(m)),
                        lambda m: F.struct(m["s"].alias("s"), m["kind"].cast("int").alias("k"), m["e"].alias("e")))
-    both = found.select("doc_id", "text", base.alias("base"), more.alias("more"))
-    return both.select("doc_id", "text", "base", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.array_distinct(F.concat("base", "more")))).alias("spans"))
+    return found.select(*rows.columns, base, more.alias("more")).select(
+        *rows.columns, "base", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+
+
+def find(docs: DataFrame, model: Model | None | str = "train") -> DataFrame:
+    """(doc_id, text, base, spans) per row of ``docs``."""
+    if model == "train":
+        model = train(proposals(docs))
+    return _searched(need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))), model)
 
 
 def listed(spans: Column) -> Column:
@@ -251,19 +291,28 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span, overlapping ones as one, replaced by the first one's kind in brackets."""
+    """The text with every span, overlapping ones as one, replaced by the first one's kind in brackets.
+    ``spans`` are sorted."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def merge(acc: Column, m: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["s"].alias("s"), last["k"].alias("k"), F.greatest(last["e"], m["e"]).alias("e"))
-        return F.when(F.size(acc) == 0, F.array(m)).when(F.get(acc, F.size(acc) - 1)["e"] <= m["s"], F.concat(acc, F.array(m))).otherwise(
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
-
-    def rebuilt(own: Column) -> Column:
-        part = lambda m, i: F.concat(F.substring(text, F.coalesce(F.get(own, i - 1)["e"], F.lit(0)) + 1, m["s"] - F.coalesce(F.get(own, i - 1)["e"], F.lit(0))), F.get(names, m["k"]))
-        last = F.get(own, F.size(own) - 1)["e"]
-        return F.concat(F.array_join(F.transform(own, part), ""), F.substring(text, last + 1, F.length(text)))
-
-    merged = F.aggregate(spans, F.array().cast("array<struct<s:int,k:int,e:int>>"), merge)
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, rebuilt))
+    ends = F.transform(spans, lambda m: m["e"])
+
+    def body(upto: Column) -> Column:
+        # what lies between the spans before and this one; nothing if it overlaps them
+        parts = F.transform(spans, lambda m, i: F.when(m["s"] >= F.get(upto, i), F.concat(
+            F.substring(text, F.get(upto, i) + 1, m["s"] - F.get(upto, i)), F.get(names, m["k"]))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(before(ends, lambda a, b: F.greatest(a, b)), body))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span replaced by its kind in brackets; n_chars, where there is one, follows a
+    changed text. A null text stays null."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = _searched(whole, train(proposals(docs)))
+    changed, text = F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))
+    out = found.select("row", changed.alias("changed"), F.when(changed, text).otherwise(F.col("row.text")).alias("now"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("now")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("changed"), F.char_length("now").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +70,15 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, bits=2)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_index_merge, op2_hypergeometric_shuffle, op3_chat_prefix_collapse, op4_qgram_decontamination, op5_line_frequency_rules,
         op6_site_template_removal, op7_boosted_pii, op8_countmin_substring_dedup,
-        op9_best_fit_packing, op10_simhash_components)
+        op9_best_fit_packing, op10_simhash_components, pipeline)
 }
 
 #: DuckDB statements over the same tables, where SQL can express the query.
