@@ -236,7 +236,8 @@ class Model:
 
 def train(found: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded sample of the labelled proposals, calibrate on a fifth of it."""
-    rows = found.select(F.explode("proposed").alias("m")).where("m.label is not null").select("m.*")
+    # outer: else a filter on the array's size is inferred below, which computes the array once more
+    rows = found.select(F.explode_outer("proposed").alias("m")).select("m.*").where("label is not null")
     rows = rows.withColumn("deal", F.xxhash64(*FEATURES, "s", "e")).orderBy("deal", "of", "s", "e").limit(sample)
     rows = stored(rows.withColumn("held", F.pmod("deal", F.lit(5)) == 0), "labelled").coalesce(1)  # bounded by the sample
     classes = {r[0] for r in rows.where("not held").select("label").distinct().collect()}
