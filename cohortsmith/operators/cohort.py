@@ -182,7 +182,9 @@ def attach_notes(patients: DataFrame) -> DataFrame:
 
 def clinical_notes(patients: DataFrame) -> DataFrame:
     """SNK-03 shape: flat ``(note_id, patient_id, note_type, text)`` rows, plus the note index."""
-    return (patients.select("patient_key", F.posexplode("clinical_notes").alias("note_idx", "note"))
+    # outer: a plain explode lets Spark infer a filter on the array, which draws every note again
+    return (patients.select("patient_key", F.posexplode_outer("clinical_notes").alias("note_idx", "note"))
+            .where(F.col("note_idx").isNotNull())
             .select("patient_key", "note_idx", "note.note_id", "note.patient_id", "note.note_type", "note.text"))
 
 

@@ -51,8 +51,14 @@ def pii_positions(spark, sf_dir):
                                                 "pattern_type", "position", "redacted_to", "match")
 
 
+def _notes(spark, sf_dir):
+    """The texts of all notes of every patient."""
+    notes = fault_patients(spark, sf_dir).select("patient_id", F.explode_outer("clinical_notes").alias("note"))
+    return notes.where(F.col("note").isNotNull()).select("patient_id", "note.text")
+
+
 def pii_positions_notes(spark, sf_dir):
-    notes = fault_patients(spark, sf_dir).select("patient_id", F.col("clinical_notes")[0]["text"].alias("text"))
+    notes = _notes(spark, sf_dir)
     return pii.scan(notes, "patient_id", "text").select("record_id", "seq", "pattern_type", "position",
                                                         "redacted_to", "match")
 
@@ -69,7 +75,7 @@ def content_policy_hits(spark, sf_dir):
 
 
 def content_policy_notes(spark, sf_dir):
-    notes = fault_patients(spark, sf_dir).select("patient_id", F.col("clinical_notes")[0]["text"].alias("text"))
+    notes = _notes(spark, sf_dir)
     return content.check(notes, "patient_id", "text").select("record_id", "seq", "category", "term", "context")
 
 
