@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.arrays import bind, running_sum
 
 UNICODE = "(?U)"  # \d \s \b are Unicode-aware in the behaviour we reproduce
 # Necessary condition for any match of the fixed patterns: three consecutive digits (SSN,
@@ -56,9 +57,16 @@ def contains_pii(text: Column, pats=None) -> Column:
     return _candidates(text, pats) & expr
 
 
+def _offsets(matches: Column, segments: Column) -> Column:
+    """Byte offset of every match: the segments and matches before it, one running sum in the row."""
+    ends = bind(segments, lambda s: running_sum(F.transform(
+        matches, lambda m, j: (F.octet_length(F.get(s, j)) + F.octet_length(m)).cast("long"))))
+    return bind(ends, lambda e: F.transform(matches, lambda m, j: F.get(e, j) - F.octet_length(m)))
+
+
 def _staged(df: DataFrame, pats, with_positions: bool, guard: Column | None = None) -> DataFrame:
     """Add ``_t0`` … ``_tN`` (text before / after each replacement) and, per pattern, the
-    split segments ``_s{i}`` and matches ``_m{i}`` of the text that pattern runs on.
+    matches ``_m{i}`` and their byte offsets ``_p{i}`` in the text that pattern runs on.
 
     Each stage is its own column, so every regex pass runs once per row; the position
     lambdas then read plain array columns."""
@@ -69,43 +77,36 @@ def _staged(df: DataFrame, pats, with_positions: bool, guard: Column | None = No
             found = F.when(guard, found).otherwise(F.array().cast("array<string>"))
         df = df.withColumn(f"_m{i}", found)
         if with_positions:  # split only texts the pattern matched
-            df = df.withColumn(f"_s{i}", F.when(F.size(f"_m{i}") > 0, F.split(cur, rx, -1)))
+            df = df.withColumn(f"_p{i}", F.when(F.size(f"_m{i}") > 0, _offsets(F.col(f"_m{i}"), F.split(cur, rx, -1))))
         df = df.withColumn(f"_t{i + 1}", F.when(F.size(f"_m{i}") > 0, F.regexp_replace(
             cur, F.lit(rx), F.lit(_escape_replacement(tag)))).otherwise(cur))
     return df
 
 
 def _hits(i: int, name: str, tag: str, before: Column) -> Column:
-    """Matches of pattern ``i`` as structs with the byte length of the segment before each
-    match (segments are never carried out of the row, only their lengths)."""
-    segs, ms = F.col(f"_s{i}"), F.col(f"_m{i}")
+    """Matches of pattern ``i`` as structs, with their places."""
+    places, ms = F.col(f"_p{i}"), F.col(f"_m{i}")
     return F.transform(ms, lambda m, j: F.struct(
-        F.lit(i).alias("pidx"), j.alias("j"), (before + j).cast("long").alias("seq"),
-        F.lit(name).alias("pattern_type"), F.lit(tag).alias("redacted_to"), m.alias("match"),
-        (F.octet_length(F.element_at(segs, j + 1)) + F.octet_length(m)).cast("long").alias("step")))
+        (before + j).cast("long").alias("seq"), F.lit(name).alias("pattern_type"),
+        F.get(places, j).alias("position"), F.lit(tag).alias("redacted_to"), m.alias("match")))
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, pats=None, keep: Sequence[str] = ()) -> DataFrame:
     """GRD-02: one row per match — ``pattern_type, position, redacted_to, match, seq``.
 
     ``seq`` orders the matches of one text (pattern order, then position); ``position`` is
-    the byte offset of the match in the text the pattern ran on: a running sum of
-    (segment + match) bytes over the matches of one text and pattern, O(n log n) per text."""
+    the byte offset of the match in the text the pattern ran on, summed inside the row: the
+    matches are exploded once and not shuffled."""
     pats = pats or patterns()
     cand = (df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_t0"), *keep)
-            .where(_candidates(F.col("_t0"), pats))
-            .withColumn("_text", F.monotonically_increasing_id()))
+            .where(_candidates(F.col("_t0"), pats)))
     st = _staged(cand, pats, with_positions=True)
     per_pattern, before = [], F.lit(0)
     for i, (name, _, tag) in enumerate(pats):
         per_pattern.append(_hits(i, name, tag, before))
         before = before + F.size(f"_m{i}")
-    rows = (st.select("record_id", *keep, "_text", F.explode(F.flatten(F.array(*per_pattern))).alias("h"))
-            .select("record_id", *keep, "_text", "h.*"))
-    w = Window.partitionBy("_text", "pidx").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = F.sum("step").over(w) - F.octet_length("match")
-    return rows.select("record_id", *keep, "seq", "pattern_type", pos.cast("long").alias("position"),
-                       "redacted_to", "match")
+    return (st.select("record_id", *keep, F.explode(F.flatten(F.array(*per_pattern))).alias("h"))
+            .select("record_id", *keep, "h.*"))
 
 
 def counts(df: DataFrame, text_col: str, pats=None) -> DataFrame:

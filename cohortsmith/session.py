@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,35 +62,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-_MATERIALIZED: dict = {}
-
-
-def materialized(spark, name: str):
-    """The table written earlier in this session under ``name``, or None."""
-    path = _MATERIALIZED.get((spark.sparkContext.applicationId, name))
-    return spark.read.parquet(path) if path else None
-
-
-def materialize(df, name: str | None = None):
+def materialize(df):
     """Cut lineage once a table feeds several branches: write it as Parquet under the shared
     ``spark.checkpoint.dir`` and read it back (one job; survives executor loss; no local
-    checkpoint). With a ``name`` the written table is reused for the rest of the session."""
+    checkpoint)."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if name is not None and (app, name) in _MATERIALIZED:
-        return spark.read.parquet(_MATERIALIZED[(app, name)])
-    import uuid
-
-    path = shared_dir(spark, f"tables/{name or 'tmp'}-{uuid.uuid4().hex}")
+    path = shared_dir(spark, f"tables/tmp-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    if name is not None:
-        _MATERIALIZED[(app, name)] = path
     return spark.read.parquet(path)
 
 
-def cut_for_optimizer(df, name: str | None = None):
+def cut_for_optimizer(df):
     """Inputs that feed several check branches are written once when the session still
     infers constraints (default Spark): generated cohorts otherwise make that inference
     explode. With constraint propagation off the plan stays lazy."""
     conf = df.sparkSession.conf.get("spark.sql.constraintPropagation.enabled", "true")
-    return materialize(df, name) if str(conf).lower() == "true" else df
+    return materialize(df) if str(conf).lower() == "true" else df

@@ -2,8 +2,8 @@
 
 The file is read with the explicit schema in PERMISSIVE mode plus a corrupt-record column;
 a line is kept only if it parsed, every required field is present (Spark keeps a missing
-required field as null even under a non-null schema, so this is checked explicitly) and
-the enum fields are in their domain. Blank lines are skipped by the reader. The rejected
+required field as null even under a non-null schema, so this is checked explicitly), no list
+holds a null, and enums, ages (0 to 255), counters and the middle initial are in their domain. Blank lines are skipped by the reader. The rejected
 lines are returned too, so the caller can count what was dropped.
 """
 
@@ -35,7 +35,12 @@ def _valid() -> F.Column:
     ok = ok & F.col("gender").isin(*S.DOMAINS["gender"])
     ok = ok & (F.col("reaction_severity").isNull() | F.col("reaction_severity").isin(*S.DOMAINS["reaction_severity"]))
     ok = ok & F.col("metadata.seed").isNotNull() & F.col("metadata.batch_id").isNotNull()
-    ok = ok & ~F.exists("clinical_notes", lambda n: n["note_id"].isNull() | n["text"].isNull())
+    ok = ok & F.col("age").between(0, 255) & (F.col("metadata.seed") >= 0) & (F.col("metadata.batch_id") >= 0)
+    ok = ok & (F.col("name.middle_initial").isNull() | (F.char_length("name.middle_initial") == 1))
+    for f in ("comorbidities", "medications"):
+        ok = ok & ~F.exists(f, lambda x: x.isNull())
+    note = [f.name for f in S.NOTE.fields]
+    ok = ok & F.forall("clinical_notes", lambda n: n.isNotNull() & F.forall(F.array(*[n[f] for f in note]), lambda x: x.isNotNull()))
     return F.coalesce(ok, F.lit(False))
 
 

@@ -56,7 +56,7 @@ def run_text_checks(spark: SparkSession, source: str, schema, id_col: str, text_
                          *([F.col(category_col).alias("category")] if category_col else []))
         hits = text_checks.scan(b, "record_id", "text", terms=terms).select(
             "record_id", "check", F.coalesce("pattern_type", "term").alias("detail"))
-        u = uniqueness.violations(b.withColumn("_o", F.monotonically_increasing_id()), "record_id", "_o").select(
+        u = uniqueness.violations(b.withColumn("_o", F.lit(0).cast("long")), "record_id", "_o").select(
             F.col("duplicate_id").alias("record_id"), F.lit("uniqueness").alias("check"), F.lit(None).cast("string").alias("detail"))
         parts = hits.unionByName(u)
         if category_col and expected:

@@ -49,11 +49,17 @@ def test_strict_scan_drops_bad_lines(spark):
             '"metadata":{"seed":42,"batch_id":0}}')
     missing = good.replace('"age":40,', "")
     bad_enum = good.replace('"Female"', '"Other"')
-    spark.createDataFrame([(good,), (missing,), (bad_enum,), ("{broken",), ("",)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(path)
+    others = [good.replace(*x) for x in (
+        ('"note_type":"primary_care",', ""), ('"note_id":"note_P1_0","patient_id":"P1",', '"note_id":"note_P1_0",'),
+        ('"age":40', '"age":300'), ('"comorbidities":[]', '"comorbidities":[null]'), ('"seed":42', '"seed":-1'),
+        ('"last_name":"B"', '"last_name":"B","middle_initial":"ABC"'), ('"clinical_notes":[', '"clinical_notes":[null,'))]
+    no_notes = good.replace(good[good.index("[{"):good.index("}],") + 2], "[]")
+    initial = good.replace('"last_name":"B"', '"last_name":"B","middle_initial":"C"')
+    lines = [good, no_notes, initial, missing, bad_enum, "{broken", "", *others]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
     scan = read_patients(spark, path)
-    assert scan.records.count() == 1
-    assert scan.rejects.count() == 3
+    assert scan.records.count() == 3
+    assert scan.rejects.count() == 3 + len(others)
 
 
 def test_stream_per_batch_uniqueness(spark):
