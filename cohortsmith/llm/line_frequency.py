@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, WORD, fresh, need, stored
 
 #: Limits of a line: documents of a host, and share of the host's distinct documents.
-MIN_DOCS, SHARE = 20, 0.2
+MIN_DOCS, SHARE = 20, 0.05
 #: A document is depleted with fewer words left than this, or than this share of its words.
 MIN_LEFT, LEFT_SHARE = 10, 0.3
 #: Base rules: least words, most words in repeated windows (per cent), words of a window.
@@ -163,7 +163,7 @@ rep AS (SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, le
 l AS (SELECT DISTINCT r, host, text, h FROM (SELECT r, lower(trim(regexp_replace(unnest(lines), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h FROM w) JOIN d USING (r) WHERE h <> ''),
 docs AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
 freq AS (SELECT l.host, h FROM l JOIN docs ON docs.host IS NOT DISTINCT FROM l.host GROUP BY l.host, h, docs.n
-  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.2 * docs.n),
+  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * docs.n),
 lost AS (SELECT r, sum(len(string_split(x.h, ' '))) AS removed
   FROM (SELECT r, host, lower(trim(regexp_replace(unnest(lines), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h FROM w JOIN d USING (r)) x
   JOIN freq ON freq.host IS NOT DISTINCT FROM x.host AND freq.h = x.h GROUP BY r),
