@@ -1,10 +1,12 @@
 """Main text of web pages, with site templates removed.
 
 Every element's subtree is hashed (its tag and its folded text, in page order), and Spark counts on
-how many distinct pages of a host each hash stands. Subtrees that recur on many pages of the host
-(menus, notices, adverts, footers: ``MIN_PAGES`` or more and ``SHARE`` of the host's pages) are
-deleted, as are elements that are never main text by their tag, role, class or id. Within an article
-element a subtree goes only at ``ARTICLE_SHARE``, since copied passages recur there too.
+how many distinct pages of a host each hash stands. Subtrees that recur on the pages of the host
+(menus, notices, adverts, footers, which take turns: ``MIN_PAGES`` or more and ``SHARE`` of the host's
+pages) are deleted. In addition, elements go that are never main text by their tag, role, class or
+id; they are hashed and counted like the others, but add nothing to the hash of what holds them.
+Within an article element, where copied passages recur too, and for phrases within a line of text, a
+subtree goes only at ``ARTICLE_MIN`` and ``ARTICLE_SHARE``; what holds an article never goes as a whole.
 
 Pages of equal html on a host count once, so groups of copies make no template. Hashes are summed
 up before the shuffle. The recurring subtrees of a host are few by counting (at most the mean number
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import need, stored
 
 #: A subtree is a template on so many pages of its host, and on this share of them.
-MIN_PAGES, SHARE, ARTICLE_SHARE = 10, 0.25, 0.6
+MIN_PAGES, SHARE = 3, 0.03
+#: The same within an article or a line of text.
+ARTICLE_MIN, ARTICLE_SHARE = 10, 0.6
 #: Recurring subtrees of all hosts that may be broadcast (16 bytes each and the host).
 BROADCAST = 200_000
 
@@ -123,6 +127,7 @@ def parse(html: str | None) -> Node:
             continue
         if tag in RAW:  # raw text up to the end tag
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            node.children.append(html[at:end.start() if end else n])
             at = end.end() if end else n
             continue
         if not m.group(0).endswith("/>") or tag in BLOCK:
@@ -134,38 +139,48 @@ def _fold(text: str) -> str:
     return " ".join(text.split())
 
 
-def walk(root: Node) -> list[tuple[Node, int]]:
-    """(element, subtree hash) of the elements with text that are not dropped by name, children
-    first. An explicit stack: pages may nest deeply."""
-    out, todo = [], [(root, None)]
-    parts: dict[int, list[str]] = {}
+_WHOLE = frozenset(("html", "body", "article", "main"))
+
+
+def walk(root: Node) -> list[tuple[Node, int, bool]]:
+    """(element, subtree hash, in an article or a line of text) of the elements with text, those
+    dropped by name too, children first; not of those that are or hold an article or main element.
+    An explicit stack: pages may nest deeply."""
+    out, todo = [], [(root, False, None)]
+    parts: dict[int, str] = {}
+    holds: set[int] = set()
     while todo:
-        node, state = todo.pop()
+        node, phrase, state = todo.pop()
+        elements = [c for c in node.children if not isinstance(c, str)]
         if state is None:
-            parts[id(node)] = []
-            todo.append((node, True))
-            todo += [(c, None) for c in reversed(node.children) if isinstance(c, Node) and not c.never]
+            todo.append((node, phrase, True))
+            # inline elements beside text, and those in them, are a part of its line
+            line = phrase or any(isinstance(c, str) and not c.isspace() for c in node.children)
+            todo += [(c, line and c.tag not in BLOCK and not c.never, None) for c in reversed(elements)]
         else:
-            own = [(_fold(c) if isinstance(c, str) else parts.pop(id(c), [""])[0]) for c in node.children]
+            own = [_fold(c) if isinstance(c, str) else "" if c.never else parts[id(c)] for c in node.children]
             text = " ".join(x for x in own if x)
-            digest = f"<{node.tag}>{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'replace'))}" if text else ""
-            parts[id(node)] = [digest]
-            if text and node is not root:
-                out.append((node, xxhash.xxh3_64_intdigest(digest.encode()) - 2**63))
+            if node.tag in ("article", "main") or any(id(c) in holds for c in elements):
+                holds.add(id(node))
+            for c in elements:
+                parts.pop(id(c), None)
+            digest = parts[id(node)] = f"<{node.tag}>{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'replace'))}" if text else ""
+            if text and node is not root and node.tag not in _WHOLE and id(node) not in holds:
+                out.append((node, xxhash.xxh3_64_intdigest(digest.encode()) - 2**63, node.article or phrase))
     return out
 
 
 def subtrees(html: str | None) -> list[tuple[int, bool]]:
-    """Distinct (hash, stands in an article) of a page's elements."""
-    return list({(h, node.article) for node, h in walk(parse(html)) if node.tag not in ("html", "body", "article", "main")})
+    """Distinct (hash, stands in an article or a line of text) of a page's elements."""
+    return list({(h, inside) for _, h, inside in walk(parse(html))})
 
 
 def main_text(html: str | None, templates: frozenset | set = frozenset()) -> str:
-    """The page's main text without the subtrees whose (hash, in an article) is in ``templates``."""
+    """The page's main text without the subtrees whose (hash, in an article or a line) is in ``templates``."""
     root = parse(html)
     if templates:
-        for node, h in walk(root):
-            if (h, node.article) in templates and node.tag not in ("html", "body", "article", "main"):
+        for node, h, inside in walk(root):
+            if (h, inside) in templates:
                 node.never = True
     for tag in ("article", "main"):
         tops = _tops(root, tag)
@@ -233,15 +248,15 @@ def templates(pages: DataFrame) -> DataFrame:
     of_host = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     each_hash = [distinct.select("host", F.explode(c).alias("hash"), F.lit(c == "inside").alias("in_article")) for c in ("outside", "inside")]
     count = each_hash[0].union(each_hash[1]).groupBy("host", "hash", "in_article").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    least = F.when(F.col("in_article"), ARTICLE_SHARE).otherwise(SHARE) * F.col("pages")
+    least = F.when(F.col("in_article"), F.greatest(F.lit(ARTICLE_MIN), ARTICLE_SHARE * F.col("pages"))).otherwise(SHARE * F.col("pages"))
     return count.join(of_host, "host").where(F.col("n") >= least).select("host", "hash", "in_article")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
-    marks = F.struct("hash", "in_article")
-    known = stored(templates(pages).groupBy("host").agg(F.collect_set(marks).alias("marks")), "templates")
-    small = (known.agg(F.sum(F.size("marks"))).first()[0] or 0) <= BROADCAST
+    marks = [F.collect_set(F.when(F.col("in_article") == inside, F.col("hash"))).alias(name) for name, inside in (("outside", False), ("inside", True))]
+    known = stored(templates(pages).groupBy("host").agg(*marks), "templates")
+    small = (known.agg(F.sum(F.size("outside") + F.size("inside"))).first()[0] or 0) <= BROADCAST
     own = need(pages, "page_id", "url", "html").withColumn("host", host(F.col("url")))
     joined = own.join(F.broadcast(known) if small else known, "host", "left")
 
@@ -249,14 +264,14 @@ def extract(pages: DataFrame) -> DataFrame:
         seen: dict = {}  # of the hosts of this task's pages, the last few
         for b in batches:
             texts = []
-            for h, page, m in zip(b["host"], b["html"], b["marks"]):
+            for h, page, outside, inside in zip(b["host"], b["html"], b["outside"], b["inside"]):
                 if h not in seen:
                     if len(seen) > 1000:
                         seen.clear()
-                    seen[h] = frozenset((x["hash"], x["in_article"]) for x in m) if m is not None else frozenset()
+                    seen[h] = frozenset() if outside is None else frozenset([*((int(x), False) for x in outside), *((int(x), True) for x in inside)])
                 texts.append(main_text(page, seen[h]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     id_type = own.schema["page_id"].dataType
-    return joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "host", "marks").mapInPandas(
+    return joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "host", "outside", "inside").mapInPandas(
         each, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast(id_type))

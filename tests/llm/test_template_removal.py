@@ -73,3 +73,20 @@ def test_templates_by_brute_force(spark, monkeypatch, broadcast):
 
 def test_empty_table(spark):
     assert T.extract(site(spark, 1).limit(0)).count() == 0
+
+
+WORD = ("really", "quite")  # each in a line of half the pages
+
+
+def test_blocks_that_take_turns_are_found_without_names(spark):
+    """Eight menus, adverts and footers take turns, each on 5 of 40 pages of the host; no name tells them."""
+    rows = [(i, "http://turns.example.org/", f"<nav><ul><li>menu {i % 8}</ul></nav><div class=x>advert <b>number</b> {i % 8}</div>"
+             f"<div><p>story {i} is <b>{WORD[i % 2]}</b> new</p></div><div>footer {i % 8}</div><script>track({i})</script>") for i in range(40)]
+    # copies of an article in pages that differ elsewhere: what holds the article is no template
+    rows += [(100 + i, "http://copies.example.org/", f"<div><article><p>copied</p></article></div><p>{i}</p>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {tuple(r)[1:] for r in T.templates(pages.where("page_id < 100")).collect()}
+    named = {h for k in range(8) for h, _ in T.subtrees(f"<nav><ul><li>menu {k}</ul></nav>")}
+    assert len(named) == 24 and {(h, False) for h in named} <= found
+    got = {r.page_id: r.text for r in T.extract(pages).collect()}
+    assert got == {i: f"story {i} is {WORD[i % 2]} new" for i in range(40)} | {100 + i: "copied" for i in range(8)}
