@@ -63,7 +63,8 @@ CUES = {
     "email": r"(?i)mail|contact|write to|@", "ip": r"(?i)\bip\b|address|host|server|client|addr",
     "card": r"(?i)card|visa|master|amex|credit|kredit|carte|tarjeta", "phone": r"(?i)phone|tel|call|mobile|cell|fax|whatsapp|\+",
 }
-_HINT = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}", "phone": r"[0-9]"}
+#: What every match of a kind's patterns contains.
+_HINT = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 FEATURES = ("kind", "digits", "chars", "marks", "groups", "longest", "luhn", "octets", "plus", "paren", "at", "dots", "letters", "joined_before", "joined_after", "cue")
 _CHUNK = 256

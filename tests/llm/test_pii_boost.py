@@ -84,3 +84,12 @@ def test_overlaps(spark):
     sql = lambda x: "array(" + ",".join(f"named_struct('s',{s},'e',{e})" for s, e in x) + ")"
     got = spark.range(1).select(P.overlaps(F.expr(sql(spans)), F.expr(sql(others)))).first()[0]
     assert got == [any(s < y and x < e for x, y in others) for s, e in spans]
+
+
+@pytest.mark.parametrize("mark", [" ", "-"])
+def test_card_spelled_digit_by_digit(spark, mark):
+    """No two digits stand side by side in the text."""
+    card = mark.join("4111111111111111")
+    df = spark.createDataFrame([(1, f"pay with {card} now")], "doc_id long, text string")
+    assert tuple(P.report(df).first())[:6] == row(1, f"pay with {card} now") and slow(card) == [(0, 2, 31)]
+    assert P.redact(df).first().text == "pay with [CARD] now"
