@@ -9,19 +9,22 @@ without prefix, spelled-out addresses). Gradient-boosted trees score them by for
 groups, separators, check digit, octets) and context (the characters beside them, words before
 them). The training rows are proposals with a weak label: those that are base spans are positive;
 those that overlap none and fail their kind's test are negative. The others are not trained on;
-they are what the trees decide. Each kind has a threshold, calibrated on held-out rows for
-``PRECISION``; spans above it that overlap no base span are added.
+they are what the trees decide. Each kind has a threshold, calibrated on all held-out labelled
+proposals for ``PRECISION``; spans above it that overlap no base span are added.
 
-Matching, features and the trees (as nested conditions) are SQL expressions within the row; only
-the training rows, a bounded sample of at most ``SAMPLE`` labelled spans, leave their documents.
+Matching, features and the trees (as nested conditions) are SQL expressions within the row. Labelled
+proposals are counted by kind, label and features, copies of a span (with what stands around it) as
+one for the fit. The fit reads a bounded number of these rows for each kind and label, so neither
+copies nor a source full of one kind displace the others; the thresholds come from the counts of
+all held-out proposals by kind and score.
 
 Patterns are written without the backtracking that overflows or becomes quadratic on long runs;
 they match what the plain ones match.
 
 Defined cases: a null or empty text has no spans; positions are code points, the end exclusive;
 repeated rows and null doc_ids get a result each; a text of any length is searched whole; without
-both kinds of labels nothing is trained and nothing added; an empty table gives an empty result;
-other columns are ignored.
+both kinds of labels nothing is trained and nothing added, and to a kind without held-out base spans
+nothing is added; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from .common import need, stored
 from .line_frequency import let
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled spans for training and calibration together, at most; one in five is held out.
+#: Rows of the fit, for all kinds and labels together, at most; one span in five is held out.
 SAMPLE = 20_000
 PRECISION = 0.98
 TREES, DEPTH = 12, 4
@@ -175,7 +178,8 @@ def _labelled(kind: str) -> Column:
     spelled = F.lit(r"\[at\]|\(at\)|\[dot\]|\(dot\)|^\(|^\+|@ | @")
 
     def row(m: Column, label: Column, taken: Column) -> Column:
-        return F.struct(F.lit(kind).alias("of"), m["s"].alias("s"), m["e"].alias("e"), label.alias("label"), taken.alias("taken"), *_features(kind, m))
+        return F.struct(F.lit(kind).alias("of"), m["s"].alias("s"), m["e"].alias("e"), label.alias("label"), taken.alias("taken"),
+                        F.xxhash64(m["x"], m["before"], m["after"]).alias("span"), *_features(kind, m))
 
     def one(m: Column, own: Column, taken: Column) -> Column:
         return row(m, F.when(own, -1.0).when(taken, 0.0).when(~passes(kind, m["x"]) & ~F.regexp_like(m["x"], spelled), 0.0), own | taken)
@@ -236,26 +240,38 @@ class Model:
 
 
 def train(found: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on a bounded sample of the labelled proposals, calibrate on a fifth of it."""
+    """Fit on at most about ``sample`` rows, as many for each kind and label; calibrate on all that is held out."""
     # outer: else a filter on the array's size is inferred below, which computes the array once more
     rows = found.select(F.explode_outer("proposed").alias("m")).select("m.*").where("label is not null")
-    rows = rows.withColumn("deal", F.xxhash64(*FEATURES, "s", "e")).orderBy("deal", "of", "s", "e").limit(sample)
-    rows = stored(rows.withColumn("held", F.pmod("deal", F.lit(5)) == 0), "labelled").coalesce(1)  # bounded by the sample
-    classes = {r[0] for r in rows.where("not held").select("label").distinct().collect()}
-    if classes != {0.0, 1.0}:
+    key = ["of", "label", *FEATURES]
+    spans = rows.groupBy(*key, "span").agg(F.count("*").alias("n"))
+    counted = stored(spans.groupBy(*key, (F.pmod("span", F.lit(5)) == 0).alias("held")).agg(
+        F.sum("n").alias("n"), F.count("*").cast("double").alias("spans")), "labelled")
+    fit, part = counted.where("not held").withColumn("deal", F.xxhash64(*FEATURES)), sample // (2 * len(KINDS))
+    strata = fit.groupBy("of", "label").agg(F.count("*").alias("rows")).collect()
+    if {r["label"] for r in strata} != {0.0, 1.0}:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("not held")).select("features", "label").cache()
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3).fit(vectors)
+    here, most = F.lit(False), 1 << 30
+    for r in strata:
+        here = here | ((F.col("of") == r["of"]) & (F.col("label") == r["label"]) & (F.pmod("deal", F.lit(most)) < -(-part * most // r["rows"])))
+    fit = stored(fit.where(here), "fit").coalesce(1).sortWithinPartitions("deal", *key)  # bounded by the sample
+    # the spans of a kind and label together weigh no more than as many as a part
+    total = {(r["of"], r["label"]): r["spans"] for r in fit.groupBy("of", "label").agg(F.sum("spans").alias("spans")).collect()}
+    weight = F.lit(1.0)
+    for (of, label), n in sorted(total.items()):
+        weight = F.when((F.col("of") == of) & (F.col("label") == label), F.lit(min(1.0, part / n))).otherwise(weight)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+        fit.withColumn("weight", F.col("spans") * weight)).select("features", "label", "weight").cache()
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3, weightCol="weight").fit(vectors)
     vectors.unpersist()
-    held = rows.where("held").select("of", "label", Model.margin(gbt, F.col).alias("score")).collect()
+    held = counted.where("held").select("of", "label", "n", Model.margin(gbt, F.col).alias("score")).groupBy("of", "score").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).collect()
     thresholds = {}
     for kind in KINDS:
-        scored = sorted(((r["score"], r["label"]) for r in held if r["of"] == kind), reverse=True)
-        right = 0.0
-        for n, (score, label) in enumerate(scored, 1):
-            right += label
-            last = n == len(scored) or scored[n][0] < score
-            if last and score > 0 and right / n >= PRECISION:
+        n = right = 0.0
+        for score, of_score, right_of_score in sorted(((r["score"], r["n"], r["right"]) for r in held if r["of"] == kind), reverse=True):
+            n, right = n + of_score, right + right_of_score
+            if score > 0 and right / n >= PRECISION:
                 thresholds[kind] = score
     return Model(gbt, thresholds) if thresholds else None
 

@@ -93,3 +93,32 @@ def test_card_spelled_digit_by_digit(spark, mark):
     df = spark.createDataFrame([(1, f"pay with {card} now")], "doc_id long, text string")
     assert tuple(P.report(df).first())[:6] == row(1, f"pay with {card} now") and slow(card) == [(0, 2, 31)]
     assert P.redact(df).first().text == "pay with [CARD] now"
+
+
+def mixed(n):
+    """Documents with a number or address of each kind, right and wrong."""
+    from random import Random
+    rng = Random(5)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if valid("card", d + c))
+
+    def other():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if not valid("card", d + c))
+
+    octet = lambda: rng.randrange(256)
+    return [(i, f"mail u{digits(3)}@x{digits(2)}.com or u{digits(3)}@x; ip {octet()}.{octet()}.{octet()}.{octet()} not {octet()}.{rng.randrange(256, 999)}.1.{octet()}; "
+             f"card {card()} not {other()}; call +44 20 7{digits(3)} {digits(4)} not {digits(4)}") for i in range(n)]
+
+
+def test_a_hot_source_or_copies_leave_every_kind_its_threshold(spark):
+    docs = mixed(150)
+    tables = [(1000 + i, " ; ".join(str(10000 + 211 * i + k) for k in range(200))) for i in range(100)]
+    frame = lambda rows: P.proposals(spark.createDataFrame(rows, "doc_id long, text string"))
+    plain, hot = P.train(frame(docs), 400), P.train(frame(docs + tables), 400)
+    assert set(plain.thresholds) == set(hot.thresholds) == set(P.KINDS)
+    copies = P.train(frame(docs + [(5000 + i, docs[0][1]) for i in range(300)]), 400)
+    assert copies.gbt.toDebugString.split("\n")[1:] == plain.gbt.toDebugString.split("\n")[1:] and set(copies.thresholds) == set(P.KINDS)
