@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from . import (
     bin_packing,
     chat_prefix,
+    collocations,
     decontaminate,
     line_frequency,
     pii_boost,
     simhash,
     substring_dedup,
     template_removal,
+    token_alignment,
+    toxicity,
     uniform_shuffle,
     warc_merge,
 )
@@ -70,6 +73,18 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), shingle=3, bits=2)
 
 
+def op11_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_whitespace_anchor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op13_quotient_filter_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -78,11 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_index_merge, op2_hypergeometric_shuffle, op3_chat_prefix_collapse, op4_qgram_decontamination, op5_line_frequency_rules,
         op6_site_template_removal, op7_boosted_pii, op8_countmin_substring_dedup,
-        op9_best_fit_packing, op10_simhash_components, pipeline)
+        op9_best_fit_packing, op10_simhash_components, op11_segment_toxicity, op12_whitespace_anchor_alignment, op13_quotient_filter_collocations, pipeline)
 }
 
 #: DuckDB statements over the same tables, where SQL can express the query.
 SQL: dict[str, str] = {
     "op3_chat_prefix_collapse": chat_prefix.SQL,
     "op5_line_frequency_rules": line_frequency.SQL,
+    "op13_quotient_filter_collocations": collocations.SQL,
 }
