@@ -49,6 +49,8 @@ class EvalParams:
     # Rows of one ordered group that one window task may rank; larger groups are
     # ranked in id-range buckets of this width (two-level rank, no hot task).
     rank_bucket_width: int = 1 << 20
+    # Distinct predicates up to which their table is broadcast; beyond it they are joined.
+    max_broadcast_predicates: int = 100_000
 
     def class_weights(self):
         disabled = set()

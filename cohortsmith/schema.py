@@ -43,3 +43,9 @@ DOMAINS = {
     "gender": ["Female", "Male"],
     "reaction_severity": ["Mild", "Moderate", "Severe"],
 }
+
+#: JSONL records of the eval set and of its RAGAS projection.
+EVAL_RECORD = ("eval_id string, query string, answer string, ground_truth_patient_ids array<string>, "
+               "ground_truth_facts array<struct<patient_id:string,fact:string>>, contexts array<string>, context_chunk_ids array<string>, "
+               "query_type string, difficulty string, metadata struct<seed:bigint,batch_id:bigint>")
+RAGAS_RECORD = "question string, answer string, contexts array<string>, ground_truth string"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cohort import chunks, clinical_notes
+from ..operators.evals import ragas
 
 
 def write_jsonl(df: DataFrame, path: str, sort_col: str | None = None) -> int:
@@ -33,6 +34,13 @@ def write_patient_outputs(patients: DataFrame, out_dir: str) -> dict:
     }
 
 
+def write_eval_outputs(records: DataFrame, out_dir: str) -> int:
+    """SNK-05: ``evals`` (nested arrays and metadata) and ``ragas_dataset`` JSONL directories."""
+    n = write_jsonl(records.drop("eval_idx", "n_ground_truth"), f"{out_dir}/evals", "eval_id")
+    write_jsonl(ragas(records), f"{out_dir}/ragas_dataset")
+    return n
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """SNK-08: CSV of a flat projection; arrays are joined with ``|``, structs flattened."""
     cols = []

@@ -200,18 +200,20 @@ def _cmp(a, an, b, bn, noun):
             f"ELSE printf('Equal (%d {noun} each)', {an}) END")
 
 
+MATCH = ("((sp.kind = 'rx' AND p.allergic_reaction AND p.reaction_medication = sp.value) "
+         "OR (sp.kind = 'med' AND list_contains(p.medications, sp.value)) "
+         "OR (sp.kind = 'cond' AND list_contains(p.comorbidities, sp.value)) "
+         "OR (sp.kind = 'id' AND p.patient_id = sp.value) OR sp.kind = 'all') "
+         "AND (sp.min_age IS NULL OR p.age > sp.min_age) AND (sp.max_age IS NULL OR p.age < sp.max_age) "
+         "AND (sp.gender IS NULL OR p.gender = sp.gender) AND (sp.region IS NULL OR p.region = sp.region) "
+         "AND (sp.cond2 IS NULL OR list_contains(p.comorbidities, sp.cond2)) "
+         "AND (sp.cond3 IS NULL OR list_contains(p.comorbidities, sp.cond3)) "
+         "AND (NOT sp.severe OR p.reaction_severity = 'Severe') "
+         "AND (sp.rtype IS NULL OR p.reaction_type = sp.rtype) AND (NOT sp.reacted OR p.allergic_reaction)")
+
+
 def eval_set_sql() -> str:
     diff = "CASE qt " + " ".join(f"WHEN {s(c)} THEN {s(d)}" for c, d in K.CLASS_DIFFICULTY.items()) + " END"
-    match = ("((sp.kind = 'rx' AND p.allergic_reaction AND p.reaction_medication = sp.value) "
-             "OR (sp.kind = 'med' AND list_contains(p.medications, sp.value)) "
-             "OR (sp.kind = 'cond' AND list_contains(p.comorbidities, sp.value)) "
-             "OR (sp.kind = 'id' AND p.patient_id = sp.value) OR sp.kind = 'all') "
-             "AND (sp.min_age IS NULL OR p.age > sp.min_age) AND (sp.max_age IS NULL OR p.age < sp.max_age) "
-             "AND (sp.gender IS NULL OR p.gender = sp.gender) AND (sp.region IS NULL OR p.region = sp.region) "
-             "AND (sp.cond2 IS NULL OR list_contains(p.comorbidities, sp.cond2)) "
-             "AND (sp.cond3 IS NULL OR list_contains(p.comorbidities, sp.cond3)) "
-             "AND (NOT sp.severe OR p.reaction_severity = 'Severe') "
-             "AND (sp.rtype IS NULL OR p.reaction_type = sp.rtype) AND (NOT sp.reacted OR p.allergic_reaction)")
     reaction = "'reaction ' || coalesce(p.reaction_type, 'unknown')"
 
     def role(r, col, att="0"):
@@ -238,7 +240,7 @@ res AS (SELECT sp.eval_idx, sp.qt, sp.attempt, sp.role, sp.query, sp.prefix,
     list(p.chunk ORDER BY p.patient_key) FILTER (WHERE p.patient_key IS NOT NULL) AS chunk_list,
     list(p.patient_id ORDER BY p.patient_key) FILTER (WHERE p.patient_key IS NOT NULL) AS members,
     list(p.note_text ORDER BY p.patient_key) FILTER (WHERE p.patient_key IS NOT NULL) AS notes
-  FROM spec sp LEFT JOIN pat p ON {match}
+  FROM spec sp LEFT JOIN pat p ON {MATCH}
   GROUP BY ALL),
 chosen AS (SELECT eval_idx, qt,
     CASE WHEN qt IN ('Lookup', 'MultiHop') THEN coalesce(min(attempt) FILTER (WHERE role = 'main' AND n > 0), 3)
@@ -340,7 +342,38 @@ FROM fin"""
 
 EVAL_SET = eval_set_sql()
 
+
+def _ground_truth_sql() -> str:
+    """Every distinct predicate of a chosen attempt (or second side) against every patient."""
+    fields = ["kind", "value", "min_age", "max_age", "gender", "region", "cond2", "cond3", "severe", "rtype", "reacted"]
+    quoted = {"kind", "value", "gender", "region", "cond2", "cond3", "rtype"}
+    key = " || ".join(f"""coalesce(',"{f}":' || """ + (f"""'"' || {f} || '"'""" if f in quoted else f"CAST({f} AS VARCHAR)") + ", '')" for f in fields)
+    before = EVAL_SET[:EVAL_SET.index("ev AS (SELECT c.eval_idx")]
+    return f"""{before}
+used AS (SELECT DISTINCT {', '.join('sp.' + f for f in fields)} FROM chosen c JOIN spec sp ON sp.eval_idx = c.eval_idx
+    AND ((sp.role = 'main' AND sp.attempt = c.att) OR sp.role = 'b')
+  WHERE c.qt NOT IN ('Negative', 'EvidenceRetrieval')),
+keyed AS (SELECT *, '{{' || substr({key}, 2) || '}}' AS predicate FROM used)
+SELECT predicate, row_number() OVER (PARTITION BY predicate ORDER BY p.patient_key)::BIGINT AS rank, p.patient_id,
+  'reaction ' || coalesce(p.reaction_type, 'unknown') AS fact, 0 AS chunk_pos, p.chunk AS chunk_id
+FROM keyed sp JOIN pat p ON {MATCH}"""
+
+
+def _records_sql() -> str:
+    lists = {"ground_truth_patient_ids": "string_split(ground_truth_ids, ', ')", "ground_truth_facts": "string_split(replace(facts, ' => ', '|'), ' ; ')",
+             "contexts": "string_split(contexts, chr(10) || chr(10))", "context_chunk_ids": "string_split(context_chunk_ids, ',')"}
+    source = {"ground_truth_patient_ids": "ground_truth_ids", "ground_truth_facts": "facts"}
+    one = ["query", "answer", "query_type", "difficulty", "seed", "batch_id"]
+    parts = [f"SELECT eval_id, {s(f)} AS field, [CAST({f} AS VARCHAR)] AS v FROM e" for f in one]
+    parts += [f"SELECT eval_id, {s(f)}, {x} FROM e WHERE {source.get(f, f)} <> ''" for f, x in lists.items()]
+    parts += [f"SELECT '', 'ragas', list_concat([query, answer, answer], CASE WHEN contexts = '' THEN [] ELSE {lists['contexts']} END) FROM e"]
+    return (f"WITH e AS (SELECT * FROM ({EVAL_SET}) x), parts AS ({' UNION ALL '.join(parts)}) "
+            "SELECT eval_id, field, (i - 1)::INTEGER AS pos, v[i] AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM parts)")
+
+
 SQL = {
+    "eval_ground_truth": _ground_truth_sql(),
+    "eval_records": _records_sql(),
     "eval_set": EVAL_SET,
     "ragas_set": f"SELECT query AS question, answer, contexts, answer AS ground_truth FROM ({EVAL_SET}) e",
     "eval_class_mix": f"SELECT query_type, difficulty, count(*)::BIGINT AS n_evals FROM ({EVAL_SET}) e GROUP BY ALL",
