@@ -34,6 +34,8 @@ class GuardrailParams:
     distribution_tolerance: float = K.DISTRIBUTION_TOLERANCE
     fail_on_error: bool = False
     max_examples: int = K.MAX_EXAMPLES
+    # Time of the violations' timestamp (as text); None: the time of the run.
+    checked_at: str | None = None
     # "global" checks drift and duplicates over the whole table; "batch" per batch_id.
     scope: str = "global"
 

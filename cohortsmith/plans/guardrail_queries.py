@@ -19,6 +19,8 @@ EVENT_TYPE_SHARES = {"view": 0.2, "click": 0.2, "purchase": 0.2, "signup": 0.2,
 LANG_SHARES = {"en": 0.6, "es": 0.1, "fr": 0.15, "de": 0.15}
 # Default terms plus a user category with terms that occur in the documents.
 DOC_TERMS = dict(K.CONTENT_TERMS, governance=["license", "token"])
+#: Time that the registered report document carries.
+REPORT_TIME = "2024-01-01T00:00:00.000000Z"
 CONVERSATION_TERMS = dict(DOC_TERMS, harassment=["hate"])
 
 
@@ -164,7 +166,8 @@ def guardrail_report_batch(spark, sf_dir):
 
 
 def guardrail_report_json(spark, sf_dir):
-    return guardrail.report_json(guardrail_report(spark, sf_dir))
+    """The report document, compact, with time and duration given."""
+    return guardrail.report_json(_fault_pipeline(spark, sf_dir, GuardrailParams()), "faults", 1234, REPORT_TIME, pretty=False)
 
 
 def reject_on_error(spark, sf_dir):
@@ -172,6 +175,16 @@ def reject_on_error(spark, sf_dir):
     return res.passed.select("record_id", "record_ord")
 
 
+def reject_on_error_copies(spark, sf_dir):
+    """GRD-15 where ids and ordinals repeat (a conversation's turns share its id): every turn is
+    judged by its own text, then every conversation with several clean turns is a duplicate. The
+    summary, and the number of rows that pass."""
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "text")
+    res = guardrail.run(guardrail.text_records(turns, "conv_id", ["text"]), GuardrailParams(fail_on_error=True), content_terms=CONVERSATION_TERMS)
+    summary = res.report_rows.where(F.col("section") == "summary").select("key", "n")
+    return summary.unionByName(res.passed.agg(F.count(F.lit(1)).alias("n")).select(F.lit("passed_rows").alias("key"), "n"))
+
+
 def guardrail_documents(spark, sf_dir):
     d = _docs(spark, sf_dir, "doc_id", "text", "lang")
     recs = guardrail.text_records(d, "doc_id", ["text"])
@@ -203,6 +216,7 @@ QUERIES = {
     "guardrail_report": guardrail_report,
     "guardrail_report_batch": guardrail_report_batch,
     "guardrail_report_json": guardrail_report_json,
+    "reject_on_error_copies": reject_on_error_copies,
     "reject_on_error": reject_on_error,
     "guardrail_documents": guardrail_documents,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortsmith import constants as K
-from cohortsmith.plans.guardrail_queries import CONVERSATION_TERMS, DOC_TERMS, EVENT_TYPE_SHARES, LANG_SHARES
+from cohortsmith.plans.guardrail_queries import CONVERSATION_TERMS, DOC_TERMS, EVENT_TYPE_SHARES, LANG_SHARES, REPORT_TIME
 
 from .cohort_sql import NOTE_SQL, cohort_ctes, dbl, s
 
@@ -141,21 +141,52 @@ def _blocklist_ctes() -> str:
 blocklist AS (SELECT DISTINCT lower(trim(regexp_replace(full_name, '\\s+', ' ', 'g'))) AS norm FROM sup_cohort)"""
 
 
-def _report_sql(viol_ctes: str, records: str, enabled_pii: bool = True) -> str:
-    """Long report table from a ``viol`` CTE (chk, record_id, record_ord, batch_id, seq, position, metric,
-    pattern_type, category, term, context, rule, duplicate_id, blocked_name)."""
+def _report_ctes(viol_ctes: str, records: str) -> str:
     checks = ", ".join(f"({i}, {s(c)})" for i, c in enumerate(K.CHECKS))
-    ex_text = ("CASE chk WHEN 'pii_scan' THEN record_id || ': ' || pattern_type "
-               "WHEN 'name_safety' THEN blocked_name "
-               "WHEN 'content_policy' THEN concat_ws('|', record_id, category, term, context) "
-               "WHEN 'distribution' THEN metric ELSE duplicate_id END")
     return f"""WITH {viol_ctes},
 checks(ord, chk) AS (VALUES {checks}),
 tot AS (SELECT count(*)::BIGINT AS total FROM {records}),
 vsum AS (SELECT count(*)::BIGINT AS flagged, count_if(chk = 'uniqueness')::BIGINT AS dup FROM viol),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY chk ORDER BY batch_id ASC NULLS LAST, record_ord ASC NULLS LAST,
     seq ASC NULLS FIRST, position ASC NULLS FIRST, metric ASC NULLS FIRST) AS rk
-  FROM viol WHERE chk IN ('pii_scan', 'name_safety', 'content_policy', 'distribution', 'uniqueness'))
+  FROM viol WHERE chk IN ('pii_scan', 'name_safety', 'content_policy', 'distribution', 'uniqueness'))"""
+
+
+def _report_json_sql(viol_ctes: str, records: str, job_id: str, time: str, ms: int) -> str:
+    """The report document as one JSON string."""
+    def n(chk):
+        return f"'enabled': true, 'triggered': (SELECT count(*) FROM viol WHERE chk = {s(chk)})"
+
+    def examples(chk, value, kind="VARCHAR"):
+        return f"(SELECT coalesce(list({value} ORDER BY rk), []) FROM ranked WHERE chk = {s(chk)} AND rk <= 100)"
+
+    def counter(chk, key):
+        pairs = f"""string_agg('"' || {key} || '":' || n, ',' ORDER BY {key})"""
+        return f"(SELECT CAST('{{' || coalesce({pairs}, '') || '}}' AS JSON) FROM (SELECT {key}, count(*) AS n FROM viol WHERE chk = {s(chk)} GROUP BY 1))"
+
+    return _report_ctes(viol_ctes, records) + f"""
+SELECT CAST(to_json({{'job_id': {s(job_id)}, 'timestamp': {s(time)},
+  'summary': {{'total_checked': total, 'passed': total - dup, 'flagged': flagged, 'rejected': dup}},
+  'checks': {{
+    'pii_scan': {{{n('pii_scan')}, 'violations': {examples('pii_scan', "record_id || ': ' || pattern_type")}}},
+    'name_safety': {{{n('name_safety')}, 'blocked_names_found': {examples('name_safety', 'blocked_name')}}},
+    'content_policy': {{{n('content_policy')}, 'violations_by_category': {counter('content_policy', 'category')},
+      'examples': {examples('content_policy', "{'patient_id': record_id, 'category': category, 'term': term, 'context': context}")}}},
+    'plausibility': {{{n('plausibility')}, 'violations_by_type': {counter('plausibility', 'rule')}}},
+    'distribution': {{{n('distribution')}, 'deviations': {examples('distribution', "{'metric': metric, 'expected': expected, 'actual': actual, 'deviation': deviation, 'within_tolerance': deviation <= " + dbl(TOL) + "}")}}},
+    'uniqueness': {{{n('uniqueness')}, 'duplicate_ids': {examples('uniqueness', 'duplicate_id')}}}}},
+  'performance_metrics': {{'total_check_time_ms': {ms}, 'avg_time_per_record_ms': {ms}::DOUBLE / total::DOUBLE}}}}) AS VARCHAR) AS report
+FROM tot, vsum"""
+
+
+def _report_sql(viol_ctes: str, records: str, enabled_pii: bool = True) -> str:
+    """Long report table from a ``viol`` CTE (chk, record_id, record_ord, batch_id, seq, position, metric,
+    pattern_type, category, term, context, rule, duplicate_id, blocked_name)."""
+    ex_text = ("CASE chk WHEN 'pii_scan' THEN record_id || ': ' || pattern_type "
+               "WHEN 'name_safety' THEN blocked_name "
+               "WHEN 'content_policy' THEN concat_ws('|', record_id, category, term, context) "
+               "WHEN 'distribution' THEN metric ELSE duplicate_id END")
+    return _report_ctes(viol_ctes, records) + f"""
 SELECT 'summary' AS section, 'total_checked' AS key, total AS n, NULL::VARCHAR AS text FROM tot
 UNION ALL SELECT 'summary', 'passed', total - dup, NULL FROM tot, vsum
 UNION ALL SELECT 'summary', 'flagged', flagged, NULL FROM vsum
@@ -170,7 +201,7 @@ UNION ALL SELECT chk || '.examples', lpad(CAST(rk AS VARCHAR), 3, '0'), rk::BIGI
 
 
 VIOL_COLS = ["chk", "record_id", "record_ord", "batch_id", "seq", "position", "metric", "pattern_type", "category",
-             "term", "context", "rule", "duplicate_id", "blocked_name"]
+             "term", "context", "rule", "duplicate_id", "blocked_name", "expected", "actual", "deviation"]
 
 
 def _viol_select(chk: str, src: str, cols: dict) -> str:
@@ -181,12 +212,13 @@ def _viol_select(chk: str, src: str, cols: dict) -> str:
         elif c in cols:
             out.append(f"{cols[c]} AS {c}")
         else:
-            kind = "BIGINT" if c in ("record_ord", "batch_id", "seq", "position") else "VARCHAR"
+            kind = "BIGINT" if c in ("record_ord", "batch_id", "seq", "position") else \
+                "DOUBLE" if c in ("expected", "actual", "deviation") else "VARCHAR"
             out.append(f"NULL::{kind} AS {c}")
     return f"SELECT {', '.join(out)} FROM {src}"
 
 
-def _fault_report(batch_scope: bool = False) -> str:
+def _fault_report(batch_scope: bool = False, report=_report_sql) -> str:
     fr_cols = {"record_id": "record_id", "record_ord": "record_ord", "batch_id": "batch_id"}
     viol = " UNION ALL ".join([
         _viol_select("pii_scan", "fr_pii_rows", dict(fr_cols, seq="seq", position="position",
@@ -197,6 +229,7 @@ def _fault_report(batch_scope: bool = False) -> str:
                                                           context="context")),
         _viol_select("plausibility", "fr_rules", dict(fr_cols, seq="seq", rule="rule")),
         _viol_select("distribution", "fr_drift", {"record_id": "'aggregate'", "seq": "seq", "metric": "metric",
+                                                  **{c: c for c in ("expected", "actual", "deviation")},
                                                   **({"batch_id": "batch_id"} if batch_scope else {})}),
         _viol_select("uniqueness", "fr_dups", dict(fr_cols, seq="0::BIGINT", duplicate_id="record_id")),
     ])
@@ -212,7 +245,7 @@ def _fault_report(batch_scope: bool = False) -> str:
         + ("batch_id, " if batch_scope else "") + "record_id) AS f FROM fault_records) WHERE record_ord > f)",
         f"viol AS ({viol})",
     ])
-    return _report_sql(ctes, "fault_records")
+    return report(ctes, "fault_records")
 
 
 def _documents_report() -> str:
@@ -294,6 +327,20 @@ SQL = {
     "guardrail_documents": _documents_report(),
 }
 
+SQL["guardrail_report_json"] = _fault_report(report=lambda ctes, records: _report_json_sql(ctes, records, "faults", REPORT_TIME, 1234))
+
+# Turns judged one by one, although a conversation's turns share id and ordinal.
+SQL["reject_on_error_copies"] = f"""WITH {_terms_values(CONVERSATION_TERMS)},
+turns AS (SELECT CAST(conv_id AS VARCHAR) AS record_id, coalesce(text, '') AS text FROM conversations),
+clean AS (SELECT * FROM turns WHERE NOT ({' OR '.join(f"regexp_matches(text, {s(rx)})" for _, rx, _ in K.PII_PATTERNS)})),
+hits AS ({_content_select('clean', 'record_id', 'text')}),
+ids AS (SELECT record_id, count(*) AS n FROM clean GROUP BY record_id),
+t AS (SELECT (SELECT count(*) FROM turns) AS total, (SELECT count(*) FROM turns) - (SELECT count(*) FROM clean) AS err,
+  (SELECT coalesce(sum(n - 1), 0) FROM ids) AS dup, (SELECT count(*) FROM hits) AS hit, (SELECT count(*) FROM ids WHERE n = 1) AS rest)
+SELECT 'total_checked' AS key, total::BIGINT AS n FROM t UNION ALL SELECT 'passed', (total - err - dup)::BIGINT FROM t
+UNION ALL SELECT 'flagged', (hit + dup)::BIGINT FROM t UNION ALL SELECT 'rejected', (err + dup)::BIGINT FROM t
+UNION ALL SELECT 'passed_rows', rest::BIGINT FROM t"""
+
 # reject_on_error: records without PII or blocked-name errors, then without any copy of a duplicated id.
 SQL["reject_on_error"] = "WITH " + ",\n".join([
     _fault_ctes(), _blocklist_ctes(),

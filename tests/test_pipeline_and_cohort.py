@@ -1,5 +1,6 @@
 """Guardrail integration (GRD-19), cohort determinism / partition independence / rates."""
 
+import json
 import math
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from cohortsmith import constants as K
 from cohortsmith.functions.names import name_struct
 from cohortsmith.operators import distribution, guardrail, rules
 from cohortsmith.operators.cohort import generate_cohort
-from cohortsmith.params import CohortParams
+from cohortsmith.params import CohortParams, GuardrailParams
 
 
 def _record(spark):
@@ -32,7 +33,7 @@ def test_guardrail_integration(spark):
     assert rows[("plausibility.violations_by_type", "too_many_comorbidities")] == 1
     assert rows[("summary", "total_checked")] == 3
     assert rows[("summary", "rejected")] == 0
-    report = guardrail.report_json(res.report_rows).first().report
+    report = guardrail.report_json(res).first().report
     assert '"pii_scan"' in report and '"P002: PHONE"' in report
 
 
@@ -77,3 +78,33 @@ def test_rates_within_five_standard_errors(spark):
 def test_xxhash_mode_runs(spark):
     df = _cohort(spark, 1000, 4, hash="xxhash64")
     assert df.count() == 1000
+
+
+def test_each_copy_is_judged_by_its_own_text(spark):
+    """Ids 1, 1, 2, 3, 3, a number in both rows of 1 and in one of 3: three are rejected, 2 and the
+    clean copy of 3 pass, and the summary agrees with the output."""
+    ssn = "SSN 123-45-6789"
+    rows = spark.createDataFrame([(1, ssn), (1, ssn), (2, "fine"), (3, ssn), (3, "fine too")], "id long, text string")
+    for copies in (rows, rows.withColumn("id", F.concat(F.lit("r"), F.col("id").cast("string")))):
+        res = guardrail.run(guardrail.text_records(copies, "id", ["text"]), GuardrailParams(fail_on_error=True, checked_at="2024-05-06 07:08:09"))
+        summary = {r.key: r.n for r in res.report_rows.where("section = 'summary'").collect()}
+        assert sorted(r.record_id.lstrip("r") for r in res.passed.collect()) == ["2", "3"]
+        assert (summary["total_checked"], summary["passed"], summary["rejected"]) == (5, 2, 3)
+        assert res.violations.count() == 0
+
+
+def test_report_document_is_structured(spark):
+    rows = spark.createDataFrame([(1, "SSN 123-45-6789"), (2, "history of alcohol abuse | and more"), (2, "x")], "id long, text string")
+    res = guardrail.run(guardrail.text_records(rows, "id", ["text"]), GuardrailParams(checked_at="2024-05-06 07:08:09"),
+                        drift=lambda d, g: distribution.categorical_drift(d, "id", {1: 0.9, 2: 0.66}, group_cols=g))
+    assert {str(r.timestamp) for r in res.violations.collect()} == {"2024-05-06 07:08:09"}
+    doc = json.loads(guardrail.report_json(res, "j", 300, "now").first().report)
+    assert doc["timestamp"] == "now" and doc["performance_metrics"] == {"total_check_time_ms": 300, "avg_time_per_record_ms": 100.0}
+    example = doc["checks"]["content_policy"]["examples"][0]
+    assert example["patient_id"] == "2" and set(example) == {"patient_id", "category", "term", "context"} and "|" in example["context"]
+    deviation = doc["checks"]["distribution"]["deviations"]
+    assert deviation == [{"metric": "1_rate", "expected": 0.9, "actual": 1 / 3, "deviation": abs(1 / 3 - 0.9), "within_tolerance": False}]
+    assert doc["checks"]["uniqueness"] == {"enabled": True, "triggered": 1, "duplicate_ids": ["2"]}
+    empty = guardrail.run(guardrail.text_records(rows.where("false"), "id", ["text"]), GuardrailParams(fail_on_error=True))
+    assert json.loads(guardrail.report_json(empty).first().report)["checks"]["content_policy"] == {
+        "enabled": True, "triggered": 0, "violations_by_category": {}, "examples": []}
