@@ -3,8 +3,8 @@
 Every element's subtree is hashed (its tag and its folded text, in page order), and Spark counts on
 how many distinct pages of a host each hash stands. Subtrees that recur on the pages of the host
 (menus, notices, adverts, footers, which take turns: ``MIN_PAGES`` or more and ``SHARE`` of the host's
-pages) are deleted. In addition, elements go that are never main text by their tag, role, class or
-id; they are hashed and counted like the others, but add nothing to the hash of what holds them.
+pages) are deleted. In addition, elements go that are never main text by their tag or role, or by a
+class or id that consists of such words alone; they are hashed and counted like the others, but add nothing to the hash of what holds them.
 Within an article element, where copied passages recur too, and for phrases within a line of text, a
 subtree goes only at ``ARTICLE_MIN`` and ``ARTICLE_SHARE``; what holds an article never goes as a whole.
 
@@ -57,38 +57,52 @@ WORDS = frozenset(
     "sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social comment comments commentlist respond reply replies disqus related recommended widget pagination pager skip".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+)|(<)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that a name may hold beside those, and still name no main text (``site-footer``, ``ad-slot``).
+BESIDE = frozenset("site top bottom left right container wrapper box area list bar inner slot unit zone posts articles buttons links icons user users form".split())
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Words of a name: between other characters, and in camel case.
 _NAMES = (r"[^A-Za-z0-9]+", r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _never(tag: str, attrs: str, in_article: bool) -> bool:
+def _names_no_text(value: str) -> bool:
+    """A class or id one of whose names consists of such words alone: ``cookie-notice``, but not
+    ``related-work`` or ``has-sidebar``."""
+    for name in value.split():
+        for pattern in _NAMES:
+            words = {w.lower() for w in re.split(pattern, name) if w and not w.isdigit()}
+            if words & WORDS and words <= WORDS | BESIDE:
+                return True
+        if name.lower() in WORDS:
+            return True
+    return False
+
+
+def _never(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """(never main text, by its class or id alone)."""
     if tag in NEVER:
-        return not (tag == "header" and in_article and not attrs)  # an article's own heading
-    if not attrs:
-        return False
+        return not (tag == "header" and in_article and not attrs), False  # an article's own heading
+    named = False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            if WORDS & {w.lower() for pattern in _NAMES for w in re.split(pattern, value)}:
-                return True
-    return False
+            named = named or _names_no_text(value)
+    return named, named
 
 
 class Node:
-    __slots__ = ("tag", "never", "children", "article")
+    __slots__ = ("tag", "never", "named", "children", "article")
 
-    def __init__(self, tag: str, never: bool, article: bool):
-        self.tag, self.never, self.article, self.children = tag, never, article, []
+    def __init__(self, tag: str, never: bool, named: bool, article: bool):
+        self.tag, self.never, self.named, self.article, self.children = tag, never, named, article, []
 
 
 def parse(html: str | None) -> Node:
     """A tree of elements and texts (character references decoded)."""
-    root = Node("#", False, False)
+    root = Node("#", False, False, False)
     stack, html = [root], html or ""
     at, n = 0, len(html)
     while at < n:
@@ -121,7 +135,7 @@ def parse(html: str | None) -> Node:
                 if open_tag in BLOCK and open_tag not in ("p",):
                     break
         attrs = attrs.rstrip("/ \t\n\r\f").strip()
-        node = Node(tag, _never(tag, attrs, stack[-1].article), stack[-1].article or tag == "article")
+        node = Node(tag, *_never(tag, attrs, stack[-1].article), stack[-1].article or tag == "article")
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -182,8 +196,9 @@ def main_text(html: str | None, templates: frozenset | set = frozenset()) -> str
         for node, h, inside in walk(root):
             if (h, inside) in templates:
                 node.never = True
-    for tag in ("article", "main"):
-        tops = _tops(root, tag)
+    # an article that stands only in what is dropped by its class or id is main text all the same
+    for tag, below in (("article", False), ("main", False), ("article", True), ("main", True)):
+        tops = _tops(root, tag, below)
         if tops:
             break
     else:
@@ -216,15 +231,16 @@ def main_text(html: str | None, templates: frozenset | set = frozenset()) -> str
     return "\n\n".join(blocks)
 
 
-def _tops(root: Node, tag: str) -> list[Node]:
-    """The outermost elements of a tag that are not dropped by name, in page order."""
+def _tops(root: Node, tag: str, below_named: bool) -> list[Node]:
+    """The outermost elements of a tag that are not dropped, in page order; those in elements that
+    are dropped by class or id alone if ``below_named``."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.tag == tag and not node.never:
             out.append(node)
         else:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.never]
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and (not c.never or below_named and c.named)]
     return out
 
 

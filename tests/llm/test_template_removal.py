@@ -25,6 +25,20 @@ def test_pages(page, text):
     assert T.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p style="overflow:hidden">main text</p></article>', "main text"), ('<article><p title="hidden gems">main text</p></article>', "main text"),
+    ('<article><p data-id="footer">main text</p></article>', "main text"), ('<article><p>see <a href="/x?id=ad">the link</a></p></article>', "see the link"),
+    ("<article><p>see <a href=/x?id=ad>the link</a></p></article>", "see the link"),
+    ('<article><section class="related-work"><p>earlier work</p></section></article>', "earlier work"),
+    ('<article><p id="widget-theory">theory</p></article>', "theory"), ('<article><div class="entry-header-wrap"><h1>T</h1></div><p>p</p></article>', "T\n\np"),
+    ('<div class="has-sidebar"><article>a</article><div class="sidebar">s</div></div>', "a"), ('<div class="sidebar"><article>a</article></div>', "a"),
+    ('<article>a</article><ol class="comment-list"><li><article>me too</article></li></ol>', "a"),
+    ('<p class="lead related-posts">no</p><p class="SiteFooter">no</p><p class="ad-slot-2">no</p><p>yes</p>', "yes"),
+])
+def test_names_drop_no_main_text(page, text):
+    assert T.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert T.main_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert len(T.main_text("<p>" + "word " * 300000)) == 1499999
