@@ -137,14 +137,12 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share
 def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """``docs`` without the rejected documents, and without the lines above the limits in the others;
     n_chars, where there is one, follows the text."""
-    verdict = _judged(docs, host, min_docs, share).select(
-        F.col("host").alias("lost_host"), F.col("t1").alias("lost_t1"), F.col("t2").alias("lost_t2"), "kept", "gone").where("kept").dropDuplicates(["lost_host", "lost_t1", "lost_t2"])
-    names = {c: fresh(docs, c) for c in ("_t1", "_t2", "_gone")}
-    t1, t2, gone = names.values()
+    t1, t2, gone, *lost = [fresh(docs, c) for c in ("_t1", "_t2", "_gone", "_lost_host", "_lost_t1", "_lost_t2")]
+    verdict = _judged(docs, host, min_docs, share).where("kept").select(
+        *[F.col(c).alias(n) for c, n in zip(("host", "t1", "t2"), lost)], F.col("gone").alias(gone)).dropDuplicates(lost)
     text = F.coalesce("text", F.lit(""))
     own = docs.withColumns({t1: F.xxhash64(text), t2: F.xxhash64(F.lit(1), text)})
-    verdict = verdict.withColumnsRenamed({"gone": gone})
-    joined = own.join(verdict, own[host].eqNullSafe(verdict["lost_host"]) & (own[t1] == verdict["lost_t1"]) & (own[t2] == verdict["lost_t2"]))
+    joined = own.join(verdict, F.col(f"`{host}`").eqNullSafe(F.col(lost[0])) & (F.col(t1) == F.col(lost[1])) & (F.col(t2) == F.col(lost[2])))
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(normal(x))) | (normal(x) == "")), "\n")
     columns = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)}
     out = joined.withColumns(columns)

@@ -71,3 +71,10 @@ def test_documents_against_brute_force(spark, min_docs, share):
 def test_empty_table(spark):
     df = frame(spark, EDGES).limit(0)
     assert L.judge(df).count() == 0 and L.clean(df).count() == 0
+
+
+def test_clean_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "a", 1, 2, 3, 4, 5, 6)],
+                                 "doc_id long, text string, source string, kept int, lost_host int, lost_t1 int, gone int, t1 int, _gone int")
+    got = L.clean(docs).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in docs.collect()]
