@@ -9,8 +9,10 @@ sum of squared fills push tokens together until sequences empty. What is still u
 group is dissolved and packed again, group sizes bounded as before, until one group holds it or
 nothing more is gained.
 
-The ids come from a fast encoder over the ranks of the same vocabulary; tests hold them equal
-to the tokenizer file's own.
+The ids come from a fast encoder over the ranks of the same vocabulary, or from the tokenizer file's
+own where a text has a very long run of white space; tests hold them equal. A sequence's number is
+its level, group and bin in 8, 32 and 24 bits (a full piece: its place in the stored table), so no
+two sequences share one.
 
 Defined cases: a null or empty text is the end id alone; a repeated row is packed as often as it
 stands (rows of one doc_id and text get their places in any order); a very long text is cut into
@@ -20,20 +22,18 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
-import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import vocabulary
 from .common import need, stored
 
 CAPACITY = 2048
@@ -42,23 +42,6 @@ GROUP = 50_000
 END_ID = 0
 
 
-@lru_cache(maxsize=2)
-def encoder(ranks_path: str):
-    """The byte-level encoder over a ranks file of the vocabulary."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(ranks_path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def default_ranks() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-
-
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; the first one may be shorter than the others."""
     first = n % capacity or capacity
@@ -72,7 +55,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, ra
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path or default_ranks()).encode_ordinary
+        encode = vocabulary.byte_encoder(ranks_path)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
@@ -227,13 +210,17 @@ def _pack_groups(rows: DataFrame, groups: int, capacity: int, seed: int) -> Data
     return rows.select("*", group).groupBy("group").applyInPandas(pack, schema)
 
 
+def _number(level: int) -> Column:
+    return F.lit((level + 1) << 56) + F.shiftleft(F.col("group"), 24) + F.col("bin")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of every piece."""
     cut = stored(pieces(docs, capacity, with_ids, ranks_path), "pieces")
     columns = cut.columns
     keyed = cut.withColumn("_key", F.monotonically_increasing_id())  # the stored table gives it the same order again
     full = keyed.where(F.col("length") == capacity).select(
-        *columns, F.concat_ws("-", F.lit("full"), "_key").alias("_seq"), F.lit(0).cast("long").alias("offset"))
+        *columns, F.col("_key").alias("_seq"), F.lit(0).cast("long").alias("offset"))
     rest, n, level = keyed.where(F.col("length") < capacity), None, 0
     done = []
     while True:
@@ -245,14 +232,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, with_ids
         last = groups == 1
         # a sequence with less than one part in 64 free is as good as full
         good = F.lit(True) if last else F.col("fill") >= capacity - capacity // 64
-        done.append(packed.where(good).select(*columns, F.concat_ws("-", F.lit(str(level)), "group", "bin").alias("_seq"), "offset"))
+        done.append(packed.where(good).select(*columns, _number(level).alias("_seq"), "offset"))
         rest, level = packed.where(~good).select(*columns, "_key"), level + 1
         if last:
             rest = None
             break
     if rest is not None and n_now:  # the last round gained little: its sequences stay as they are
-        done.append(packed.where(~good).select(*columns, F.concat_ws("-", F.lit(str(level - 1)), "group", "bin").alias("_seq"), "offset"))
+        done.append(packed.where(~good).select(*columns, _number(level - 1).alias("_seq"), "offset"))
     out = full
     for d in done:
         out = out.union(d)
-    return out.select(*columns, F.xxhash64("_seq").alias("sequence_id"), "offset")
+    return out.select(*columns, F.col("_seq").alias("sequence_id"), "offset")

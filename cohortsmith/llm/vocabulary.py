@@ -65,8 +65,8 @@ def byte_tokens(ranks_path: str | None = None) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(model_path: str | None = None) -> Callable[[str], list[int]]:
-    """text -> ids of the piece vocabulary, which puts a space before the text."""
+def piece_encoder(model_path: str | None = None) -> Callable[[str | list[str]], list]:
+    """text -> ids of the piece vocabulary, which puts a space before the text; texts -> lists."""
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=model_path or path("piece_bpe_32k.model"))

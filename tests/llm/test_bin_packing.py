@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortsmith.llm import bin_packing as B
+from cohortsmith.llm import vocabulary
 
 
 def reference_ids(texts):
@@ -65,7 +66,7 @@ def test_same_ids_as_the_tokenizer(spark):
     random.seed(5)
     alphabet = "ab e'sS  \n\t\r\x0b\x85\xa0éßñ中文🙂٣½।’​<|>_-–"
     texts = ["".join(random.choices(alphabet, k=random.randrange(1, 80))) for _ in range(3000)]
-    encode = B.encoder(B.default_ranks()).encode_ordinary
+    encode = vocabulary.byte_encoder()
     assert [[*encode(t), 0] for t in texts] == reference_ids(texts)
 
 
@@ -83,3 +84,10 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(3000)) and all(lengths[b].sum() <= 2048 for b in bins)
     squares = [sum(int(lengths[b].sum()) ** 2 for b in x) for x in (start, bins)]
     assert squares[1] > squares[0] and len(bins) < 0.9 * len(start) and len(bins) <= 1.02 * len(B.best_fit(lengths, 2048))
+
+
+def test_very_long_runs(spark):
+    """A million blanks, line feeds or letters in one text."""
+    texts = {i: "x" + c * 1_000_000 + "y" for i, c in enumerate(" \nz")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(B.pack(docs).collect(), texts)

@@ -26,7 +26,11 @@ def test_stages(spark):
             want = {d: t for d, t, _ in now if any(c == d for x, _, c in slow_components([(d, t) for d, t, _ in now]) if x == d)}
         elif name == "decontamination":
             exact = {d for d, t, _ in now if any(decontaminate.fold(b) in decontaminate.fold(t) for b in bench)}
-            assert not exact & set(got) and set(got) >= {d for d, t, _ in now if d not in exact} - {d for d, _, _ in now if d not in got}
+            # what goes shares a stretch of an item: 10 % edits leave nine characters in a row
+            stretches = {f[i:i + 9] for f in map(decontaminate.fold, bench) for i in range(len(f) - 8)}
+            gone = [decontaminate.fold(t) for d, t, _ in now if d not in got]
+            assert not exact & set(got) and all(any(f[i:i + 9] in stretches for i in range(len(f))) for f in gone)
+            assert len(gone) < 0.3 * len(now)
             want = {d: t for d, t, _ in now if d in got}
         else:
             for d, t, _ in now:
