@@ -34,8 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with sequence and place."""
-    return bin_packing.pack(docs)
+    """The pieces of all documents with their ids (4 bytes each, little-endian), sequence and place."""
+    return bin_packing.pack(docs, with_ids=True)
 
 
 STAGES = [
