@@ -6,6 +6,10 @@ a tuple of the one's ids and a tuple of the other's. What a window looks like in
 shared ends, links) depends on the ids alone, so it is worked out once for each pair of tuples and
 remembered. A link is a pair of token occurrences whose byte ranges end together.
 
+Both tokenizers encode the text between two single blanks on its own (a blank that stands between
+visible characters always begins a token and no merge crosses it; this is tested on the whole
+vocabulary), so the ids of such a stretch are remembered too.
+
 A task cuts what it finds into blocks of bounded size (stored): the windows of its documents as
 numbers, the distinct windows' links, and the distinct id pairs with their counts. The pairs are
 summed over all blocks, their totals joined back to the blocks that have them, and each block
@@ -19,7 +23,9 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,24 +37,25 @@ from pyspark.sql import functions as F
 from . import vocabulary
 from .common import need, stored
 
-#: Windows of a block, and window alignments that a task remembers at a time.
+#: Windows of a block; window alignments, and stretches' ids, that a task remembers at a time.
 BLOCK = 1 << 18
 REMEMBERED = 1 << 18
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
-def window_groups(a: list[int], b: list[int], a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[str, list[int]]:
+def window_groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, list[int]]:
     """The groups of one window as text, and its links as packed id pairs (a << 32 | b)."""
-    groups, links, i, j, at_a, at_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if j == len(b) or (i < len(a) and at_a <= at_b):
-            at_a += int(a_sizes[a[i]])
-            i += 1
-        else:
-            at_b += int(b_sizes[b[j]])
+    if len(a) == 1 or len(b) == 1:  # the window's end is the only shared one
+        return ",".join(map(str, a)) + "|" + ",".join(map(str, b)), [a[-1] << 32 | b[-1]]
+    groups, links, j, at_a, at_b, from_a, from_b = [], [], 0, 0, 0, 0, 0
+    for i, x in enumerate(a, 1):
+        at_a += a_sizes[x]
+        while at_b < at_a:
+            at_b += b_sizes[b[j]]
             j += 1
         if at_a == at_b:
             groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            links.append(a[i - 1] << 32 | b[j - 1])
+            links.append(x << 32 | b[j - 1])
             from_a, from_b = i, j
     return ";".join(groups), links
 
@@ -60,6 +67,10 @@ class Aligner:
         self.encode_a, self.encode_b = vocabulary.byte_encoder(ranks_path), vocabulary.piece_encoder(model_path)
         self.bytes_a, self.bytes_b = vocabulary.byte_tokens(ranks_path), vocabulary.piece_tokens(model_path)
         (self.size_a, self.space_a), (self.size_b, self.space_b) = vocabulary.shape(self.bytes_a), vocabulary.shape(self.bytes_b)
+        self.sizes = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
+        # no piece has a blank behind another character, so none crosses the blank before a word
+        self.separable = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
+        self.stretches: dict[str, tuple[list[int], list[int]]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -67,15 +78,32 @@ class Aligner:
         self.texts: list[str] = []
         self.links: list[list[int]] = []
 
+    def _encoded(self, text: str) -> tuple[list[int], list[int]]:
+        """Both tokenizers' ids of blank + text, stretch by stretch."""
+        if "\u2581" in text or not self.separable:
+            return self.encode_a(" " + text), self.encode_b(text)
+        known, stretches = self.stretches, _BETWEEN.split(text)
+        new = [x for x in dict.fromkeys(stretches) if x not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(dict.fromkeys(stretches))
+        found = dict(zip(new, zip([self.encode_a(" " + x) for x in new], self.encode_b(new))))
+        known.update((x, ids) for x, ids in found.items() if len(x) <= 64)
+        a, b = [], []
+        for x in stretches:
+            ids = known.get(x) or found[x]
+            a += ids[0]
+            b += ids[1]
+        return a, b
+
     def ids(self, text: str | None) -> tuple[list[int], list[int]] | None:
         """Both tokenizers' ids, where both give the text back."""
         if not text:
             return None
         want = (" " + text).encode()
-        a = self.encode_a(" " + text)
+        a, b = self._encoded(text)
         if b"".join(map(self.bytes_a.__getitem__, a)) != want:
             return None
-        b = self.encode_b(text)
         return (a, b) if b"".join(map(self.bytes_b.__getitem__, b)) == want else None
 
     def windows(self, a: list[int], b: list[int]) -> list[int]:
@@ -92,7 +120,7 @@ class Aligner:
             number = numbers.get(key)
             if number is None:
                 number = numbers[key] = len(self.texts)
-                text, links = window_groups(a[i >> 2:j >> 2], b[k >> 2:m >> 2], self.size_a, self.size_b)
+                text, links = window_groups(a[i >> 2:j >> 2], b[k >> 2:m >> 2], *self.sizes)
                 self.texts.append(text)
                 self.links.append(links)
             out.append(number)
@@ -130,6 +158,13 @@ def _block_row(number: int, docs: list[tuple], windows: list[int], links: list[l
 def aligned_blocks(docs: DataFrame, block: int = BLOCK, remembered: int = REMEMBERED, ranks_path: str | None = None, model_path: str | None = None) -> DataFrame:
     """All documents aligned, a row for each block of windows; a long document stands in several."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # what is remembered has no cycles, and scanning it again and again takes half the time
+        try:
+            yield from dealt(batches)
+        finally:
+            gc.enable()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = row = TaskContext.get().partitionId() << 33
         aligner = Aligner(ranks_path, model_path)
         docs, windows = [], []

@@ -49,9 +49,17 @@ def brute(rows, tokenizers):
 
         end_a, end_b = ends(raw_a), ends(raw_b)
         shared = sorted(set(end_a) & set(end_b))
-        parts = [",".join(str(i) for i, e in zip(a, end_a) if lo < e <= hi) + "|" + ",".join(str(i) for i, e in zip(b, end_b) if lo < e <= hi)
-                 for lo, hi in zip([0, *shared], shared)]
-        links = [(a[end_a.index(e)], b[end_b.index(e)]) for e in shared]
+        def cut(ids, at_end):
+            at, out = 0, []
+            for e in shared:
+                to = at_end.index(e, at) + 1
+                out.append(ids[at:to])
+                at = to
+            return out
+
+        both = list(zip(cut(a, end_a), cut(b, end_b)))
+        parts = [",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in both]
+        links = [(x[-1], y[-1]) for x, y in both]
         count.update(links)
         docs.append((doc_id, a, b, links, hashlib.sha256(";".join(parts).encode()).hexdigest()))
     most = Counter()
@@ -94,9 +102,19 @@ def test_windows_are_remembered():
     assert len(aligner.texts) == before + 1
 
 
+def test_stretches_give_the_ids_of_the_whole_text(tokenizers):
+    """Cut at single blanks between visible characters, whatever stands beside them."""
+    t, sp = tokenizers
+    aligner, kinds = A.Aligner(), ["a", "Zz", "7", "12", ".", "'s", "'", "é", "漢", "🙂", "\n", "  ", "\t", "\u00a0", "\x1d", "\x85", "\u3000", "\u200b", "_", "-"]
+    text = " ".join(x + y for x in kinds for y in kinds) + "".join(x + " " + y for x in kinds for y in kinds)
+    for each in (text, text[::-1], text.replace(" ", "  ")):
+        assert aligner._encoded(each) == (t.encode(" " + each, add_special_tokens=False).ids, sp.encode(each))
+    assert aligner.separable
+
+
 @pytest.mark.parametrize("char", [" ", "\n", "x", "　"])
 def test_ids_of_very_long_runs(tokenizers, char):
-    text = "x" + char * 300_000 + "y z"
+    text = "x" + char * 60_000 + "y z"
     assert V.byte_encoder()(text) == tokenizers[0].encode(text, add_special_tokens=False).ids
 
 
