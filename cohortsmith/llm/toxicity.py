@@ -43,6 +43,7 @@ from .common import need, stored
 #: Letters of the units of a word besides the whole word, cells of a row of the model, prior documents.
 PREFIXES = (4, 5, 6)
 CELLS = 1 << 20
+SLICE = 1 << 15
 PRIOR = 4.0
 DRIFT = 1.5
 #: Parts of a document's weight in the sums.
@@ -54,6 +55,8 @@ SIGNIFICANT = 0.01
 BINS, BIN = 400, 0.25
 #: Lambdas among which the likeliest is taken.
 LAMBDAS = [0.05 * 1.1 ** i for i in range(48)]
+#: Groups of copies (28 bytes each) up to which their sizes are broadcast; beyond it they are joined.
+BROADCAST = 300_000
 #: Words whose scores or cells a task remembers at a time.
 REMEMBERED = 500_000
 
@@ -173,49 +176,60 @@ def held_out() -> F.Column:
 
 
 def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document with its distinct cells and its two min-hashes over three-word runs."""
-    remembered: dict[str, list[int]] = {}
+    """Each document with its two min-hashes over three-word runs."""
     for b in batches:
         rows = []
         for toxic, text in zip(b["toxic"], b["text"]):
             words = words_of(text)
-            if len(remembered) > REMEMBERED:
-                remembered = {}
-            found: set[int] = set()
-            for w in set(words):
-                own = remembered.get(w)
-                if own is None:
-                    own = remembered[w] = [c for u in units(w) for c in cells(u)]
-                found.update(own)
             runs = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))}
             h = np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), np.uint64, len(runs))
-            rows.append((int(toxic), int(h.min().astype(np.int64)), int((h * np.uint64(0x9E3779B97F4A7C15)).min().astype(np.int64)),
-                         np.array(sorted(found), "<u4").tobytes(), text))
-        yield pd.DataFrame(rows, columns=["toxic", "g1", "g2", "cells", "text"])
+            rows.append((int(toxic), int(h.min().astype(np.int64)), int((h * np.uint64(0x9E3779B97F4A7C15)).min().astype(np.int64)), text))
+        yield pd.DataFrame(rows, columns=["toxic", "g1", "g2", "text"])
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Weights of documents added up by cell and label, as whole parts so that sums don't depend on order."""
     sums = np.zeros((2, 2 * CELLS), np.int64)
+    remembered: dict[str, list[int]] = {}
     for b in batches:
-        for toxic, size, raw in zip(b["toxic"], b["size"], b["cells"]):
-            sums[int(toxic > 0)][np.frombuffer(raw, "<u4")] += max(1, UNIT // int(size))
+        for toxic, size, text in zip(b["toxic"], b["size"], b["text"]):
+            if len(remembered) > REMEMBERED:
+                remembered = {}
+            found: set[int] = set()
+            for w in set(words_of(text)):
+                own = remembered.get(w)
+                if own is None:
+                    own = remembered[w] = [c for u in units(w) for c in cells(u)]
+                found.update(own)
+            sums[int(toxic > 0)][np.fromiter(found, np.int64, len(found))] += max(1, UNIT // int(size))
     at = np.flatnonzero(sums.any(0))
     yield pd.DataFrame({"cell": at, "clean": sums[0][at], "toxic": sums[1][at]})
 
 
+def _slice(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """A slice of the model's cells as two binary arrays."""
+    dense = {c: np.zeros(SLICE, np.float32) for c in ("toxic", "clean")}
+    for c in dense:
+        dense[c][frame["cell"] % SLICE] = frame[c] / UNIT
+    return pd.DataFrame({"at": [int(key[0])], **{c: [x.tobytes()] for c, x in dense.items()}})
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The model, or the base rate where the labels are not of both kinds."""
-    seen = stored(labelled(docs, labels).mapInPandas(_seen, "toxic int, g1 long, g2 long, cells binary, text string"), "labelled")
+    seen = stored(labelled(docs, labels).mapInPandas(_seen, "toxic int, g1 long, g2 long, text string"), "labelled")
     sizes = seen.groupBy("toxic", "g1", "g2").agg(F.count("*").alias("size"))
     groups = sizes.groupBy().agg(F.sum((F.col("toxic") > 0).cast("long")).alias("t"), F.count("*").alias("n")).first()
     if not groups["n"] or groups["t"] in (0, groups["n"]):
         return (groups["t"] or 0) / max(1, groups["n"])
-    rows = seen.drop("text").join(sizes, ["toxic", "g1", "g2"]).select("toxic", "size", "cells").mapInPandas(_counts, "cell long, clean long, toxic long")
-    # at most 2 * CELLS rows, whatever the input
-    table = rows.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    # only groups of several documents need a weight; while they are few the texts stay where they are
+    several = stored(sizes.where("size > 1"), "copies")
+    side = F.broadcast(several) if several.count() <= BROADCAST else several
+    rows = seen.join(side, ["toxic", "g1", "g2"], "left").select("toxic", F.coalesce("size", F.lit(1)).alias("size"), "text").mapInPandas(_counts, "cell long, clean long, toxic long")
+    summed = rows.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     toxic, clean = np.zeros(2 * CELLS, np.float32), np.zeros(2 * CELLS, np.float32)
-    toxic[table["cell"]], clean[table["cell"]] = table["toxic"] / UNIT, table["clean"] / UNIT
+    # 2 * CELLS / SLICE rows of SLICE cells, 16 MB together whatever the input
+    for at, t, c in summed.groupBy(F.expr(f"cell div {SLICE}").alias("at")).applyInPandas(_slice, "at long, toxic binary, clean binary").toLocalIterator():
+        toxic[at * SLICE:(at + 1) * SLICE], clean[at * SLICE:(at + 1) * SLICE] = np.frombuffer(t, np.float32), np.frombuffer(c, np.float32)
     model = Model(toxic, clean, groups["t"] / groups["n"])
     found = stored(_searched(seen, model), "segments")
     model.lam, model.k = _extreme_values(found)
