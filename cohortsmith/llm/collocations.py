@@ -9,6 +9,12 @@ makes filters of bounded size; those of one block meet in one group, are merged
 their counters added. A common phrase is one counter in each filter, and the permutation makes the
 blocks even, so no phrase weighs on a task.
 
+Two-word phrases are counted first. Longer ones can't be frequent unless all their two-word parts
+are, so only windows over frequent pairs are counted next; which pairs are, each task sees in a
+bitmap of ``PAIR_BITS`` bits at most (16 MB, the one broadcast table). A bit that stands for several
+pairs lets windows through that are counted and then found rare, so the result doesn't depend on
+the bitmap; from some 10^8 frequent pairs on it is full and saves nothing.
+
 The dictionary is never sent whole to a task. Texts are cut once into blocks of at most ``BLOCK``
 tokens with a vocabulary of their own (stored; smaller than the texts); the vocabularies are
 joined with the dictionary, and each block gets the ids of its own words back.
@@ -40,8 +46,10 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 #: Tokens of a block of text, windows of a filter, and the windows that a merged block may come from.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 HELD = 1 << 21
+#: The bitmap of frequent pairs: bits for each pair, least and most bits, bits of a slice (as powers of two).
+PAIR_SHARE, PAIR_LEAST, PAIR_BITS, PAIR_SLICE = 6, 16, 27, 20
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 22
 #: Buckets in which the dictionary is numbered, and in which a language's phrases are ranked first.
@@ -251,10 +259,35 @@ def decode(block: int, q: int, runs: bytes, rests: bytes, counters: bytes, entri
 _FILTER = "n_words int, block long, entries int, q int, runs binary, rests binary, counters binary"
 
 
-def filters(blocks: DataFrame, bits: int, block_bits: int, longest: int = LONGEST, held: int = HELD) -> DataFrame:
-    """Filters of the windows of 2 to ``longest`` known words: blocks of tokens, with the ids of
-    their words, in; a row for each length and block of numbers out."""
+def pair_bitmap(pairs: DataFrame, bits: int, size: int) -> np.ndarray:
+    """2**size bits; set where the permuted number of a frequent pair begins with the bit's place."""
+    step = min(size, PAIR_SLICE)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                gids = np.stack(b["gids"].to_numpy()).astype(np.uint64)
+                at = pack(permute([gids[:, 0], gids[:, 1]], bits), bits)[0] >> np.uint64(64 - size)
+                yield pd.DataFrame({"at": np.unique(at.astype(np.int64))})
+
+    def slice_of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros(1 << step, bool)
+        dense[frame["at"].to_numpy() & ((1 << step) - 1)] = True
+        return pd.DataFrame({"slice": [int(key[0])], "bits": [np.packbits(dense).tobytes()]})
+
+    found = pairs.mapInPandas(places, "at long").distinct().groupBy(F.shiftright("at", step).alias("slice")).applyInPandas(slice_of, "slice long, bits binary")
+    out = np.zeros(1 << size, bool)
+    for at, raw in found.toLocalIterator():
+        out[at << step:(at + 1) << step] = np.unpackbits(np.frombuffer(raw, np.uint8))[:1 << step]
+    return np.packbits(out)
+
+
+def filters(blocks: DataFrame, bits: int, block_bits: int, lengths: range, held: int = HELD, pairs: np.ndarray | None = None) -> DataFrame:
+    """Filters of the windows of known words of the given lengths (from 2, or from 3 over the bitmap
+    of pairs): blocks of tokens, with the ids of their words, in; a row for each length and block of
+    numbers out."""
     names = [f.split()[0] for f in _FILTER.split(", ")]
+    shared = blocks.sparkSession.sparkContext.broadcast(pairs)
 
     def flush(n: int, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         limbs, counts = _added([np.concatenate(x) for x in zip(*parts)], None)
@@ -266,7 +299,7 @@ def filters(blocks: DataFrame, bits: int, block_bits: int, longest: int = LONGES
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {n: [] for n in range(2, longest + 1)}
+        parts: dict[int, list] = {n: [] for n in lengths}
         size = dict.fromkeys(parts, 0)
         for batch in batches:
             for r in range(batch.num_rows):
@@ -276,9 +309,17 @@ def filters(blocks: DataFrame, bits: int, block_bits: int, longest: int = LONGES
                 ids = np.zeros(int(tokens.max(initial=0)) + 1, np.uint64)
                 ids[known.field("local").to_numpy(zero_copy_only=False)] = known.field("gid").to_numpy(zero_copy_only=False).astype(np.uint64)
                 seq, skip = ids[tokens], row["skip"].as_py()
-                ok = seq > 0
-                for n in parts:
-                    ok = ok[:-1] & (seq[n - 1:] > 0)  # a window of n words starts here
+                good = (seq[:-1] > 0) & (seq[1:] > 0)  # a pair starts here
+                if shared.value is not None:
+                    at = np.flatnonzero(good)
+                    size_bits = (8 * len(shared.value)).bit_length() - 1
+                    place = (pack(permute([seq[at], seq[at + 1]], bits), bits)[0] >> np.uint64(64 - size_bits)).astype(np.int64)
+                    good[at] = (shared.value[place >> 3] << (place & 7).astype(np.uint8)) & 128 > 0
+                ok = good
+                for n in range(2, lengths[-1] + 1):
+                    ok = ok if n == 2 else ok[:-1] & good[n - 2:]  # a window of n words starts here
+                    if n not in parts:
+                        continue
                     at = np.flatnonzero(ok)
                     at = at[at + n - 1 >= skip]
                     if len(at):
@@ -327,8 +368,15 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     bits = max(1, int(known).bit_length())
     block_bits = min(2 * bits, 40, max(0, int(windows - 1) // merge).bit_length())
     ids = words.join(dictionary.select("lang", "word", "gid"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("known"))
-    with_ids = blocks.select("block", "skip", "tokens", "wide").join(ids, "block").drop("block")
-    phrases = stored(merged(filters(with_ids, bits, block_bits, longest, held), bits, block_bits, min_count), "phrases")
+    with_ids = stored(blocks.select("block", "skip", "tokens", "wide").join(ids, "block").drop("block"), "known")
+
+    def counted(lengths: range, pairs: np.ndarray | None = None) -> DataFrame:
+        return stored(merged(filters(with_ids, bits, block_bits, lengths, held, pairs), bits, block_bits, min_count), "phrases")
+
+    phrases = counted(range(2, 3))
+    if longest > 2:
+        size = min(PAIR_BITS, max(PAIR_LEAST, phrases.count().bit_length() + PAIR_SHARE))
+        phrases = phrases.union(counted(range(3, longest + 1), pair_bitmap(phrases, bits, size)))
 
     # every part of a frequent phrase is itself frequent, so the joins below lose nothing
     parts = phrases.select("gids", F.col("a").alias("f")).union(dictionary.select(F.array("gid"), "f"))

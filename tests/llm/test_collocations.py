@@ -103,3 +103,10 @@ def test_filters_lose_nothing(n, bits, data):
         for gram, k in zip(zip(*(x.tolist() for x in C.permute(C.unpack(back, n, bits), bits, back=True))), c.tolist()):
             got[gram] += k
     assert got == {g: k * (counts.sum() // len(words)) for g, k in Counter(words).items()}
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIR_LEAST", 4)
+    monkeypatch.setattr(C, "PAIR_BITS", 4)
+    rows = corpus(150, 5)
+    assert run(spark, rows, min_count=3, top=80) == brute(rows, 3, 5, 80)
