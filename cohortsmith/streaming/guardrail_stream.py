@@ -1,23 +1,31 @@
 """Structured Streaming run modes of the guardrails (STR-01…03).
 
-* ``run_text_checks`` — file stream → per micro-batch: PII + content violations of the
-  batch's rows, the batch's duplicate ids (uniqueness does not survive the batch, as in the
-  behaviour we reproduce) and its drift; each epoch's output is written to its own
-  ``epoch=<id>`` folder with overwrite, so a retried epoch replaces itself (idempotent).
-  The running report is then a batch aggregation over everything written.
+* ``run_guardrail`` — file stream → the whole guardrail pipeline on every micro-batch (drift and
+  duplicates are judged within it and, with ``scope="batch"``, within each ``batch_id`` of it; they
+  don't survive it, as in the behaviour we reproduce). An epoch folds its counts and first examples
+  into the report of the epoch before it and writes the running report of that epoch, so no
+  violation is read again. Every output lies in an ``epoch=<id>`` folder written with overwrite and
+  made from the epoch's rows and the report before it alone: a retried epoch replaces itself.
 * ``run_event_windows`` — event-time form of the drift check: tumbling windows with a
   watermark (bounded state), ``update`` output folded per epoch; the final value of each
   window is the row of the latest epoch that touched it.
+* ``window_duplicates`` — the copies of a key within a window, across micro-batches: a count for
+  each (window, key) whose state the watermark bounds. Copies are counted before the shuffle, so
+  a hot key costs a row for each task.
 
-Both use ``trigger(availableNow=True)`` so a run processes what is there and stops.
+All use ``trigger(availableNow=True)`` so a run processes what is there and stops.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import distribution, text_checks, uniqueness
+from ..operators import guardrail
+from ..params import GuardrailParams
 from ..session import shared_dir
 
 
@@ -45,40 +53,57 @@ def split_source_in_time_order(df: DataFrame, ts_col: str, path: str, n_files: i
     return path
 
 
-def run_text_checks(spark: SparkSession, source: str, schema, id_col: str, text_col: str, out: str,
-                    terms: dict | None = None, category_col: str | None = None, expected: dict | None = None,
-                    files_per_trigger: int = 1) -> DataFrame:
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
+@dataclass
+class StreamReport:
+    violations: DataFrame   # of all epochs
+    report_rows: DataFrame  # the running report after the last epoch, as guardrail.run gives it
+    examples: DataFrame
+
+
+def run_guardrail(spark: SparkSession, source: str, schema, records: Callable[[DataFrame], DataFrame], out: str,
+                  params: GuardrailParams = GuardrailParams(scope="batch"), files_per_trigger: int = 1, **checks) -> StreamReport:
+    """STR-01…03: ``records`` makes record tables of the source's rows, ``checks`` are the other
+    arguments of ``guardrail.run``. Run again on the same ``out``, it takes only new files."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()  # read by the checks, the duplicate scan and the counts
-        b = batch.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text"),
-                         *([F.col(category_col).alias("category")] if category_col else []))
-        hits = text_checks.scan(b, "record_id", "text", terms=terms).select(
-            "record_id", "check", F.coalesce("pattern_type", "term").alias("detail"))
-        u = uniqueness.violations(b.withColumn("_o", F.lit(0).cast("long")), "record_id", "_o").select(
-            F.col("duplicate_id").alias("record_id"), F.lit("uniqueness").alias("check"), F.lit(None).cast("string").alias("detail"))
-        parts = hits.unionByName(u)
-        if category_col and expected:
-            d = distribution.categorical_drift(b, "category", expected).select(
-                F.lit("aggregate").alias("record_id"), F.lit("distribution").alias("check"),
-                F.col("metric").alias("detail"))
-            parts = parts.unionByName(d)
-        parts.withColumn("epoch", F.lit(epoch).cast("long")) \
-            .write.mode("overwrite").parquet(f"{out}/violations/epoch={epoch}")
-        b.agg(F.count(F.lit(1)).alias("n")).withColumn("epoch", F.lit(epoch).cast("long")) \
-            .write.mode("overwrite").parquet(f"{out}/counts/epoch={epoch}")
-        batch.unpersist()
+        judge_epoch(records(batch), epoch, out, params, **checks)
 
     q = (stream.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/violations")
+    return read_report(spark, out)
+
 
+def judge_epoch(recs: DataFrame, epoch: int, out: str, params: GuardrailParams, **checks) -> None:
+    """The violations of one micro-batch, and the running report up to it."""
+    spark = recs.sparkSession
 
-def stream_report(violations: DataFrame) -> DataFrame:
-    """STR-01: the running report over all epochs: violations per check and per detail."""
-    return violations.groupBy("check", "detail").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = f"{out}/{name}/epoch={epoch}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    recs = recs.persist()  # read by each of the checks
+    res = guardrail.run(recs, params, store=lambda v: stored(v, "violations"), **checks)
+    counts, examples = res.report_counts.drop("text"), res.examples.drop("rank", "within_tolerance")
+    if epoch > 0:  # epochs are numbered without gaps
+        before = f"epoch={epoch - 1}"
+        counts = counts.unionByName(spark.read.parquet(f"{out}/report/{before}"))
+        examples = examples.unionByName(spark.read.parquet(f"{out}/examples/{before}").drop("rank", "within_tolerance"))
+    total = F.when(F.col("key") == "enabled", F.max("n")).otherwise(F.sum("n"))
+    stored(counts.groupBy("section", "key").agg(total.alias("n")), "report")
+    stored(guardrail.first_examples(examples, params), "examples")
+    recs.unpersist()
+
+
+def read_report(spark: SparkSession, out: str) -> StreamReport:
+    """The running report of the last epoch, and the violations of all."""
+    last = spark.read.parquet(f"{out}/report").agg(F.max("epoch")).first()[0]
+    examples = spark.read.parquet(f"{out}/examples/epoch={last}")
+    counts = spark.read.parquet(f"{out}/report/epoch={last}").withColumn("text", F.lit(None).cast("string"))
+    return StreamReport(spark.read.parquet(f"{out}/violations"),
+                        counts.unionByName(guardrail.example_rows(examples)), examples)
 
 
 def run_event_windows(spark: SparkSession, source: str, schema, ts_col: str, cat_col: str, out: str,
@@ -111,6 +136,13 @@ def run_event_windows(spark: SparkSession, source: str, schema, ts_col: str, cat
     return ups.groupBy("window_start", "category").agg(F.max_by("n", "epoch").alias("n"))
 
 
+def window_duplicates(counts: DataFrame) -> DataFrame:
+    """STR-03 across micro-batches: per window and key, the copies after the first (``counts`` as
+    ``run_event_windows`` gives them, the key as its category; rows without a key are no copies)."""
+    return counts.where((F.col("n") > 1) & F.col("category").isNotNull()).select(
+        "window_start", F.col("category").cast("string").alias("duplicate_id"), (F.col("n") - 1).alias("n_extra"))
+
+
 def window_drift(counts: DataFrame, expected: dict, tolerance: float) -> DataFrame:
     """Share of each category within its window vs. expected (all rows, with the flag)."""
     from pyspark.sql import Window

@@ -248,23 +248,25 @@ def _fault_report(batch_scope: bool = False, report=_report_sql) -> str:
     return report(ctes, "fault_records")
 
 
-def _documents_report() -> str:
+def documents_report(record_id: str = "CAST(doc_id AS VARCHAR)", batch: int = 1000, batch_scope: bool = False) -> str:
+    """The report over the documents; with ``batch_scope`` drift and duplicates are judged in each batch."""
     dcols = {"record_id": "record_id", "record_ord": "record_ord", "batch_id": "batch_id"}
     viol = " UNION ALL ".join([
         _viol_select("pii_scan", "d_pii_rows", dict(dcols, seq="seq", position="position", pattern_type="pattern_type")),
         _viol_select("content_policy", "d_content", dict(dcols, seq="seq", category="category", term="term",
                                                          context="context")),
-        _viol_select("distribution", "d_drift", {"record_id": "'aggregate'", "seq": "seq", "metric": "metric"}),
+        _viol_select("distribution", "d_drift", {"record_id": "'aggregate'", "seq": "seq", "metric": "metric",
+                                                 **({"batch_id": "batch_id"} if batch_scope else {})}),
         _viol_select("uniqueness", "d_dups", dict(dcols, seq="0::BIGINT", duplicate_id="record_id")),
     ])
     ctes = ",\n".join([
-        "drec AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, doc_id AS record_ord, (doc_id // 1000)::BIGINT AS batch_id, "
+        f"drec AS (SELECT {record_id} AS record_id, doc_id AS record_ord, (doc_id // {batch})::BIGINT AS batch_id, "
         "coalesce(text, '') AS text, lang FROM documents)",
         _terms_values(DOC_TERMS),
         _pii_ctes("drec", "record_id", "text", "d_pii", ", record_ord, batch_id"),
         "d_content AS (" + _content_select("drec", "record_id", "text", ", record_ord, batch_id") + ")",
-        "d_drift AS (" + _drift_select("drec", _cat_flags("lang", LANG_SHARES), None, True) + ")",
-        "d_dups AS (SELECT * FROM (SELECT *, min(record_ord) OVER (PARTITION BY record_id) AS f FROM drec) "
+        "d_drift AS (" + _drift_select("drec", _cat_flags("lang", LANG_SHARES), "batch_id" if batch_scope else None, True) + ")",
+        "d_dups AS (SELECT * FROM (SELECT *, min(record_ord) OVER (PARTITION BY " + ("batch_id, " if batch_scope else "") + "record_id) AS f FROM drec) "
         "WHERE record_ord > f)",
         f"viol AS ({viol})",
     ])
@@ -324,7 +326,7 @@ SQL = {
                    "FROM cohort WHERE lower(trim(regexp_replace(full_name, '\\s+', ' ', 'g'))) IN (SELECT norm FROM blocklist)",
     "guardrail_report": _fault_report(),
     "guardrail_report_batch": _fault_report(batch_scope=True),
-    "guardrail_documents": _documents_report(),
+    "guardrail_documents": documents_report(),
 }
 
 SQL["guardrail_report_json"] = _fault_report(report=lambda ctes, records: _report_json_sql(ctes, records, "faults", REPORT_TIME, 1234))

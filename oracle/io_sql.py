@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from cohortsmith import constants as K
 from cohortsmith.plans.guardrail_queries import DOC_TERMS, EVENT_TYPE_SHARES
+from cohortsmith.plans.io_queries import STREAM_BATCH
 
 from .cohort_sql import cohort_ctes, dbl, s, with_cohort
 from .guardrail_sql import (_content_select, _cond_flags, _drift_select, _pii_ctes, _rules_select, _terms_values,
-                            _viol_select)
+                            _viol_select, documents_report)
 
 
 def _summary() -> str:
@@ -95,5 +96,8 @@ SQL = {
     "dataset_summary": _summary(),
     "dataset_validate": _validate(),
     "stream_guardrail": _stream_guardrail(),
+    "stream_guardrail_report": documents_report("md5(coalesce(text, ''))", STREAM_BATCH, batch_scope=True),
+    "stream_duplicates": "SELECT date_trunc('day', ts) AS window_start, CAST(user_id AS VARCHAR) AS duplicate_id, "
+                         "count(*)::BIGINT - 1 AS n_extra FROM events WHERE user_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "stream_event_windows": _event_windows(),
 }

@@ -5,6 +5,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from cohortsmith.operators import guardrail
+from cohortsmith.params import GuardrailParams
 from cohortsmith.plans import jobs
 from cohortsmith.sinks.writers import write_csv
 from cohortsmith.sources.jsonl import read_patients
@@ -62,16 +64,58 @@ def test_strict_scan_drops_bad_lines(spark):
     assert scan.rejects.count() == 3 + len(others)
 
 
+def _records(d):
+    return d.select(F.col("doc_id").cast("string").alias("record_id"), "record_ord", "batch_id", F.array("text").alias("texts"))
+
+
+def _stream_rows(spark, rows, files, base):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "record_ord long, doc_id long, batch_id long, text string")
+    return ST.split_source(df, "batch_id", f"{base}/src", files), df
+
+
 def test_stream_per_batch_uniqueness(spark):
     base = tempfile.mkdtemp(prefix="cohortsmith-stream-")
-    rows = [(i % 5, f"text {i}") for i in range(20)]  # ids repeat inside every file
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.monotonically_increasing_id())
-    src = ST.split_source(df, "k", f"{base}/src", 2)
-    viol = ST.run_text_checks(spark, src, df.schema, "doc_id", "text", f"{base}/out")
-    n_dup = viol.where(F.col("check") == "uniqueness").count()
-    per_epoch = spark.read.parquet(f"{base}/out/counts").collect()
-    # duplicates are counted within each micro-batch: rows - distinct ids, summed over batches
-    assert n_dup == sum(r.n for r in per_epoch) - 5 * len(per_epoch)
+    rows = [(i % 5, i // 10, f"text {i}") for i in range(20)]  # ids repeat inside every batch
+    src, df = _stream_rows(spark, rows, 2, base)
+    res = ST.run_guardrail(spark, src, df.schema, _records, f"{base}/out")
+    # duplicates are counted within each batch: rows - distinct ids, summed over batches
+    assert res.violations.where(F.col("check") == "uniqueness").count() == 20 - 5 * 2
+    got = {(r.section, r.key): r.n for r in res.report_rows.collect()}
+    assert got["summary", "total_checked"] == 20 and got["summary", "rejected"] == got["uniqueness", "triggered"] == 10
+
+
+def test_running_report_is_the_batch_report_and_survives_a_retry(spark):
+    base = tempfile.mkdtemp(prefix="cohortsmith-stream-")
+    rows = [(i % 7, i // 25, f"mail a{i}@example.com, 123-45-6789" if i % 3 else "clean") for i in range(200)]
+    src, df = _stream_rows(spark, rows, 4, base)
+    p = GuardrailParams(scope="batch", max_examples=9, checked_at="2024-01-01")
+    res = ST.run_guardrail(spark, src, df.schema, _records, f"{base}/out", p)
+    exp = guardrail.run(_records(df), p)
+    assert sorted(map(str, res.report_rows.collect())) == sorted(map(str, exp.report_rows.collect()))
+    docs = [guardrail.report_json(r, "job", 7, "now").first()[0] for r in (res, exp)]
+    assert docs[0] == docs[1]
+    # epoch 3 judged again from the same rows: nothing is counted twice
+    last = spark.read.parquet(f"{base}/out/violations").where("epoch = 3").select("batch_id").distinct()
+    ST.judge_epoch(_records(df.join(last, "batch_id", "left_semi")), 3, f"{base}/out", p)
+    again = ST.read_report(spark, f"{base}/out")
+    assert sorted(map(str, again.report_rows.collect())) == sorted(map(str, exp.report_rows.collect()))
+    assert again.violations.count() == exp.violations.count()
+    # a second run takes only new files
+    more, _ = _stream_rows(spark, rows, 4, f"{base}/more")
+    spark.read.parquet(more).write.mode("append").parquet(src)
+    total = ST.run_guardrail(spark, src, df.schema, _records, f"{base}/out", p).report_rows
+    assert total.where("section = 'summary' and key = 'total_checked'").first().n == 400
+
+
+def test_duplicates_across_micro_batches(spark):
+    base = tempfile.mkdtemp(prefix="cohortsmith-stream-")
+    rows = [("2024-01-01 01:00", 1), ("2024-01-01 09:00", 1), ("2024-01-01 23:00", 1), ("2024-01-02 00:30", 1),
+            ("2024-01-02 01:00", 2), ("2024-01-02 08:00", None), ("2024-01-02 09:00", None), ("2024-01-02 23:59", 2)]
+    df = spark.createDataFrame(rows, "ts string, k long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    src = ST.split_source_in_time_order(df, "ts", f"{base}/src", 4)
+    dup = ST.window_duplicates(ST.run_event_windows(spark, src, df.schema, "ts", "k", f"{base}/out"))
+    assert sorted((str(r.window_start), r.duplicate_id, r.n_extra) for r in dup.collect()) == [
+        ("2024-01-01 00:00:00", "1", 2), ("2024-01-02 00:00:00", "2", 1)]
 
 
 def test_event_windows_ignore_session_time_zone(spark):
