@@ -8,7 +8,8 @@ remembered. A link is a pair of token occurrences whose byte ranges end together
 
 Both tokenizers encode the text between two single blanks on its own (a blank that stands between
 visible characters always begins a token and no merge crosses it; this is tested on the whole
-vocabulary), so the ids of such a stretch are remembered too.
+vocabulary). Where both give a stretch back byte for byte its ends are anchors, so the windows of such
+a stretch are remembered with its numbers of ids. A text with another stretch is encoded in one.
 
 A task cuts what it finds into blocks of bounded size (stored): the windows of its documents as
 numbers, the distinct windows' links, and the distinct id pairs with their counts. The pairs are
@@ -26,6 +27,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,69 +72,72 @@ class Aligner:
         self.sizes = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
         # no piece has a blank behind another character, so none crosses the blank before a word
         self.separable = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
-        self.stretches: dict[str, tuple[list[int], list[int]]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
-        self.links: list[list[int]] = []
+        self.links: list[array] = []
+        self.stretches: dict[str, tuple[int, int, list[int]]] = {}
 
-    def _encoded(self, text: str) -> tuple[list[int], list[int]]:
-        """Both tokenizers' ids of blank + text, stretch by stretch."""
-        if "\u2581" in text or not self.separable:
-            return self.encode_a(" " + text), self.encode_b(text)
-        known, stretches = self.stretches, _BETWEEN.split(text)
-        new = [x for x in dict.fromkeys(stretches) if x not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(stretches))
-        found = dict(zip(new, zip([self.encode_a(" " + x) for x in new], self.encode_b(new))))
-        known.update((x, ids) for x, ids in found.items() if len(x) <= 64)
-        a, b = [], []
-        for x in stretches:
-            ids = known.get(x) or found[x]
-            a += ids[0]
-            b += ids[1]
-        return a, b
-
-    def ids(self, text: str | None) -> tuple[list[int], list[int]] | None:
-        """Both tokenizers' ids, where both give the text back."""
-        if not text:
-            return None
+    def _given_back(self, text: str, a: list[int], b: list[int]) -> bool:
         want = (" " + text).encode()
-        a, b = self._encoded(text)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != want:
+        return b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
+
+    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[int]] | None:
+        """(ids of A, ids of B, windows), where both tokenizers give the text back."""
+        if not self._given_back(text, a, b):
             return None
-        return (a, b) if b"".join(map(self.bytes_b.__getitem__, b)) == want else None
+        # without a blank in the text no token but the first is marked
+        return len(a), len(b), self.windows(a, b) if " " in text else [self._number(a, b)]
+
+    def _by_stretch(self, text: str) -> list[tuple[int, int, list[int]]] | None:
+        """The same for each stretch of a text, where it holds for all of them."""
+        if "\u2581" in text or not self.separable:
+            return None
+        known, stretches = self.stretches, _BETWEEN.split(text)
+        found = list(map(known.get, stretches))
+        if None in found:
+            new = list(dict.fromkeys(x for x, f in zip(stretches, found) if f is None))
+            made = {x: self._aligned(x, self.encode_a(" " + x), b) for x, b in zip(new, self.encode_b(new))}
+            if None in made.values():
+                return None
+            found = [made[x] if f is None else f for x, f in zip(stretches, found)]
+            if len(known) + len(made) > REMEMBERED:
+                known.clear()
+            known.update((x, f) for x, f in made.items() if len(x) <= 64)
+        return found
 
     def windows(self, a: list[int], b: list[int]) -> list[int]:
-        """The document's windows, as numbers."""
+        """The windows of a text, as numbers."""
         a4, b4 = np.array(a, "<u4"), np.array(b, "<u4")
         marks_a, marks_b = np.flatnonzero(self.space_a[a4[1:]]), np.flatnonzero(self.space_b[b4[1:]])
         ends_a, ends_b = np.cumsum(self.size_a[a4])[marks_a], np.cumsum(self.size_b[b4])[marks_b]
         _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        cut_a = [0, *(4 * (marks_a[at_a] + 1)).tolist(), 4 * len(a)]
-        cut_b = [0, *(4 * (marks_b[at_b] + 1)).tolist(), 4 * len(b)]
-        raw_a, raw_b, numbers, out = a4.tobytes(), b4.tobytes(), self.numbers, []
-        for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            key = (raw_a[i:j], raw_b[k:m])
-            number = numbers.get(key)
-            if number is None:
-                number = numbers[key] = len(self.texts)
-                text, links = window_groups(a[i >> 2:j >> 2], b[k >> 2:m >> 2], *self.sizes)
-                self.texts.append(text)
-                self.links.append(links)
-            out.append(number)
-        return out
+        cut_a = [0, *(marks_a[at_a] + 1).tolist(), len(a)]
+        cut_b = [0, *(marks_b[at_b] + 1).tolist(), len(b)]
+        return [self._number(a[i:j], b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+
+    def _number(self, a: list[int], b: list[int]) -> int:
+        key = array("I", a).tobytes(), array("I", b).tobytes()
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.texts)
+            text, links = window_groups(a, b, *self.sizes)
+            self.texts.append(text)
+            self.links.append(array("q", links))
+        return number
 
     def document(self, text: str | None) -> tuple[int, int, str, list[int]]:
         """(n_a, n_b, groups digest, windows) of one text."""
-        both = self.ids(text)
-        if both is None:
+        parts = self._by_stretch(text) if text else None
+        if text and parts is None:
+            one = self._aligned(text, self.encode_a(" " + text), self.encode_b(text))
+            parts = [one] if one else None
+        if parts is None:
             return 0, 0, "", []
-        found = self.windows(*both)
-        return len(both[0]), len(both[1]), hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest(), found
+        found = [w for p in parts for w in p[2]]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts), hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest(), found
 
 
 _DOC = [("row", pa.int64()), ("doc_id", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("sha", pa.string()), ("size", pa.int64())]
@@ -142,7 +147,7 @@ _BLOCKS_DDL = ("block long, row array<long>, doc_id array<string>, n_a array<lon
                "size array<long>, windows binary, wsizes binary, wlinks binary, pairs array<long>, counts array<long>")
 
 
-def _block_row(number: int, docs: list[tuple], windows: list[int], links: list[list[int]]) -> pa.RecordBatch:
+def _block_row(number: int, docs: list[tuple], windows: list[int], links: list[array]) -> pa.RecordBatch:
     """Documents' windows with the distinct windows' links and the distinct pairs of the block."""
     distinct, place, times = np.unique(np.array(windows, np.int64), return_inverse=True, return_counts=True)
     own = [links[w] for w in distinct.tolist()]

@@ -41,7 +41,7 @@ def byte_encoder(ranks_path: str | None = None, json_path: str | None = None) ->
     slow = []
 
     def encode(text: str) -> list[int]:
-        if not _RUN.search(text):
+        if len(text) < LONG_RUN or not _RUN.search(text):
             return fast(text)
         if not slow:
             from tokenizers import Tokenizer

@@ -1,5 +1,6 @@
 """Token alignment against offsets compared one by one."""
 
+import random
 import hashlib
 from collections import Counter
 
@@ -108,10 +109,22 @@ def test_stretches_give_the_ids_of_the_whole_text(tokenizers):
     aligner, kinds = A.Aligner(), ["a", "Zz", "7", "12", ".", "'s", "'", "é", "漢", "🙂", "\n", "  ", "\t", "\u00a0", "\x1d", "\x85", "\u3000", "\u200b", "_", "-"]
     text = " ".join(x + y for x in kinds for y in kinds) + "".join(x + " " + y for x in kinds for y in kinds)
     for each in (text, text[::-1], text.replace(" ", "  ")):
-        assert aligner._encoded(each) == (t.encode(" " + each, add_special_tokens=False).ids, sp.encode(each))
+        stretches = A._BETWEEN.split(each)
+        assert [i for x in stretches for i in aligner.encode_a(" " + x)] == t.encode(" " + each, add_special_tokens=False).ids
+        assert [i for x in aligner.encode_b(stretches) for i in x] == sp.encode(each)
     assert aligner.separable
 
 
+def test_windows_of_stretches_are_those_of_the_whole_text():
+    aligner, kinds = A.Aligner(), ["a", "Zz", "7", ".", "'s", "é", "漢", "🙂", "\n", "\t", "\u00a0", "\u200b", "-"]
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice([*kinds, " ", " ", "  ", " \n "]) for _ in range(rng.randint(1, 30)))
+        whole = aligner._aligned(text, aligner.encode_a(" " + text), aligner.encode_b(text))
+        n_a, n_b, _, found = aligner.document(text)
+        assert (n_a, n_b, found) == (whole or (0, 0, []))
+
+
 @pytest.mark.parametrize("char", [" ", "\n", "x", "　"])
 def test_ids_of_very_long_runs(tokenizers, char):
     text = "x" + char * 60_000 + "y z"
