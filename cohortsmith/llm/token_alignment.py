@@ -9,7 +9,7 @@ remembered. A link is a pair of token occurrences whose byte ranges end together
 Both tokenizers encode the text between two single blanks on its own (a blank that stands between
 visible characters always begins a token and no merge crosses it; this is tested on the whole
 vocabulary). Where both give a stretch back byte for byte its ends are anchors, so the windows of such
-a stretch are remembered with its numbers of ids. A text with another stretch is encoded in one.
+a stretch are remembered. A text with another stretch is encoded in one.
 
 A task cuts what it finds into blocks of bounded size (stored): the windows of its documents as
 numbers, the distinct windows' links, and the distinct id pairs with their counts. The pairs are
@@ -29,6 +29,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,21 +46,24 @@ REMEMBERED = 1 << 18
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
-def window_groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, list[int]]:
-    """The groups of one window as text, and its links as packed id pairs (a << 32 | b)."""
-    if len(a) == 1 or len(b) == 1:  # the window's end is the only shared one
-        return ",".join(map(str, a)) + "|" + ",".join(map(str, b)), [a[-1] << 32 | b[-1]]
-    groups, links, j, at_a, at_b, from_a, from_b = [], [], 0, 0, 0, 0, 0
-    for i, x in enumerate(a, 1):
+def window_groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int], a_names: list[str], b_names: list[str]) -> tuple[str, list[int]]:
+    """The groups of one window as text, and its links as packed id pairs (a << 32 | b); an id's name
+    is a comma and its number."""
+    groups = left = right = ""
+    links, j, at_a, at_b, y = [], 0, 0, 0, 0
+    for x in a:
         at_a += a_sizes[x]
+        left += a_names[x]
         while at_b < at_a:
-            at_b += b_sizes[b[j]]
+            y = b[j]
+            at_b += b_sizes[y]
+            right += b_names[y]
             j += 1
         if at_a == at_b:
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            links.append(x << 32 | b[j - 1])
-            from_a, from_b = i, j
-    return ";".join(groups), links
+            groups += f"{left[1:]}|{right[1:]};"
+            links.append(x << 32 | y)
+            left = right = ""
+    return groups[:-1], links
 
 
 class Aligner:
@@ -69,29 +73,36 @@ class Aligner:
         self.encode_a, self.encode_b = vocabulary.byte_encoder(ranks_path), vocabulary.piece_encoder(model_path)
         self.bytes_a, self.bytes_b = vocabulary.byte_tokens(ranks_path), vocabulary.piece_tokens(model_path)
         (self.size_a, self.space_a), (self.size_b, self.space_b) = vocabulary.shape(self.bytes_a), vocabulary.shape(self.bytes_b)
-        self.sizes = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
+        both = self.bytes_a, self.bytes_b
+        self.shapes = *([len(t) for t in tokens] for tokens in both), *([f",{i}" for i in range(len(tokens))] for tokens in both)
         # no piece has a blank behind another character, so none crosses the blank before a word
         self.separable = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
+        self.numbers: dict[bytes, int] = {}
         self.texts: list[str] = []
-        self.links: list[array] = []
-        self.stretches: dict[str, tuple[int, int, list[int]]] = {}
+        self.links, self.n_links = array("q"), array("q")  # of all windows in a row; each one's number of them
+        self.n_a, self.n_b = array("q"), array("q")
+        self.stretches: dict[str, tuple[int, ...]] = {}
 
     def _given_back(self, text: str, a: list[int], b: list[int]) -> bool:
         want = (" " + text).encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
 
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[int]] | None:
-        """(ids of A, ids of B, windows), where both tokenizers give the text back."""
+    def _shared(self, text: str, a: list[int], b: list[int]) -> tuple[int, ...] | None:
+        """The windows, where both tokenizers give the text back."""
         if not self._given_back(text, a, b):
             return None
         # without a blank in the text no token but the first is marked
-        return len(a), len(b), self.windows(a, b) if " " in text else [self._number(a, b)]
+        return tuple(self.windows(a, b)) if " " in text else (self._number(a, b),)
+
+    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[int]] | None:
+        """(ids of A, ids of B, windows) of a text encoded in one."""
+        found = self._shared(text, a, b)
+        return found and (len(a), len(b), list(found))
 
-    def _by_stretch(self, text: str) -> list[tuple[int, int, list[int]]] | None:
+    def _by_stretch(self, text: str) -> list[tuple[int, ...]] | None:
         """The same for each stretch of a text, where it holds for all of them."""
         if "\u2581" in text or not self.separable:
             return None
@@ -99,7 +110,7 @@ class Aligner:
         found = list(map(known.get, stretches))
         if None in found:
             new = list(dict.fromkeys(x for x, f in zip(stretches, found) if f is None))
-            made = {x: self._aligned(x, self.encode_a(" " + x), b) for x, b in zip(new, self.encode_b(new))}
+            made = {x: self._shared(x, self.encode_a(" " + x), b) for x, b in zip(new, self.encode_b(new))}
             if None in made.values():
                 return None
             found = [made[x] if f is None else f for x, f in zip(stretches, found)]
@@ -119,25 +130,32 @@ class Aligner:
         return [self._number(a[i:j], b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
 
     def _number(self, a: list[int], b: list[int]) -> int:
-        key = array("I", a).tobytes(), array("I", b).tobytes()
+        key = array("i", (*a, -1, *b)).tobytes()
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.texts)
-            text, links = window_groups(a, b, *self.sizes)
+            text, links = window_groups(a, b, *self.shapes)
             self.texts.append(text)
-            self.links.append(array("q", links))
+            self.links.extend(links)
+            self.n_a.append(len(a))
+            self.n_b.append(len(b))
+            self.n_links.append(len(links))
         return number
 
     def document(self, text: str | None) -> tuple[int, int, str, list[int]]:
         """(n_a, n_b, groups digest, windows) of one text."""
         parts = self._by_stretch(text) if text else None
-        if text and parts is None:
-            one = self._aligned(text, self.encode_a(" " + text), self.encode_b(text))
-            parts = [one] if one else None
-        if parts is None:
-            return 0, 0, "", []
-        found = [w for p in parts for w in p[2]]
-        return sum(p[0] for p in parts), sum(p[1] for p in parts), hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest(), found
+        if parts is not None:
+            found = list(chain.from_iterable(parts))
+            n_a, n_b = self.total(self.n_a, found), self.total(self.n_b, found)
+        else:
+            n_a, n_b, found = text and self._aligned(text, self.encode_a(" " + text), self.encode_b(text)) or (0, 0, [])
+        return n_a, n_b, hashlib.sha256(";".join(map(self.texts.__getitem__, found)).encode()).hexdigest() if found else "", found
+
+    @staticmethod
+    def total(numbers: array, windows: list[int]) -> int:
+        """The sum of a number that each window has."""
+        return int(np.frombuffer(numbers, np.int64)[windows].sum()) if windows else 0
 
 
 _DOC = [("row", pa.int64()), ("doc_id", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("sha", pa.string()), ("size", pa.int64())]
@@ -147,16 +165,16 @@ _BLOCKS_DDL = ("block long, row array<long>, doc_id array<string>, n_a array<lon
                "size array<long>, windows binary, wsizes binary, wlinks binary, pairs array<long>, counts array<long>")
 
 
-def _block_row(number: int, docs: list[tuple], windows: list[int], links: list[array]) -> pa.RecordBatch:
+def _block_row(number: int, docs: list[tuple], windows: list[int], aligner: Aligner) -> pa.RecordBatch:
     """Documents' windows with the distinct windows' links and the distinct pairs of the block."""
     distinct, place, times = np.unique(np.array(windows, np.int64), return_inverse=True, return_counts=True)
-    own = [links[w] for w in distinct.tolist()]
-    sizes = np.array([len(x) for x in own], "<u4")
-    flat = np.array([p for x in own for p in x], np.int64)
+    all_sizes = np.array(aligner.n_links, np.int64)
+    sizes, starts = all_sizes[distinct], (np.cumsum(all_sizes) - all_sizes)[distinct]
+    flat = np.array(aligner.links, np.int64)[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
     pairs, local = np.unique(flat, return_inverse=True)
     counts = np.bincount(local, np.repeat(times, sizes), len(pairs)).astype(np.int64)
     columns = {name: [[d[i] for d in docs]] for i, (name, _) in enumerate(_DOC)}
-    return pa.RecordBatch.from_pydict({"block": [number], **columns, "windows": [place.astype("<u4").tobytes()], "wsizes": [sizes.tobytes()],
+    return pa.RecordBatch.from_pydict({"block": [number], **columns, "windows": [place.astype("<u4").tobytes()], "wsizes": [sizes.astype("<u4").tobytes()],
                                        "wlinks": [local.astype("<u4").tobytes()], "pairs": [pairs], "counts": [counts]}, _BLOCKS)
 
 
@@ -176,22 +194,22 @@ def aligned_blocks(docs: DataFrame, block: int = BLOCK, remembered: int = REMEMB
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 n_a, n_b, sha, found = aligner.document(text)
-                n_groups = sum(len(aligner.links[w]) for w in found)
+                n_groups = aligner.total(aligner.n_links, found)
                 for at in range(0, max(1, len(found)), block):
                     part = found[at:at + block]
                     docs.append((row, doc_id, n_a, n_b, n_groups, sha, len(part)) if at == 0 else (row, doc_id, 0, 0, 0, "", len(part)))
                     windows += part
                     if len(windows) >= block or len(docs) >= block:
-                        yield _block_row(number, docs, windows, aligner.links)
+                        yield _block_row(number, docs, windows, aligner)
                         number, docs, windows = number + 1, [], []
                 row += 1
                 if len(aligner.texts) >= remembered:  # their numbers are given anew, so the block ends
                     if docs:
-                        yield _block_row(number, docs, windows, aligner.links)
+                        yield _block_row(number, docs, windows, aligner)
                         number, docs, windows = number + 1, [], []
                     aligner.forget()
         if docs:
-            yield _block_row(number, docs, windows, aligner.links)
+            yield _block_row(number, docs, windows, aligner)
 
     own = need(docs, "doc_id", "text")
     return own.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(each, _BLOCKS_DDL)
