@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from typing import TypeVar
 
 from . import constants as K
 
+P = TypeVar("P", "CohortParams", "GuardrailParams", "EvalParams")
+#: Domains of values by field name; fields not named here are free.
+_SHARES = {"female_probability", "metformin_if_diabetes", "aspirin_exposure", "drug_x_exposure", "drug_y_exposure",
+           "drug_z_exposure", "distribution_tolerance"}
+_AT_LEAST = {"batch_size": 1, "min_age": 0, "max_examples": 0, "rank_bucket_width": 1, "max_broadcast_predicates": 0}
+_ONE_OF = {"hash": ("md5", "xxhash64"), "scope": ("global", "batch")}
+
+
+def checked(params: P) -> P:
+    """The parameters themselves, or ValueError naming every value outside its domain."""
+    bad = []
+    for f in fields(params):
+        v = getattr(params, f.name)
+        if (f.name in _SHARES and not 0 <= v <= 1 or f.name in _AT_LEAST and v < _AT_LEAST[f.name]
+                or f.name in _ONE_OF and v not in _ONE_OF[f.name]):
+            bad.append(f"{f.name}={v!r}")
+    bad += [f"condition_rates[{c!r}]={r!r}" for c, r in getattr(params, "condition_rates", {}).items() if not 0 <= r <= 1]
+    if isinstance(params, CohortParams) and params.min_age > params.max_age:
+        bad.append(f"min_age={params.min_age!r} above max_age={params.max_age!r}")
+    if bad:
+        raise ValueError("parameters outside their domain: " + ", ".join(bad))
+    return params
+
+
+def merged(params: P, **given) -> P:
+    """SRC-07: the given values over those of ``params``. None keeps what stands; a rate table is
+    merged entry by entry. Unknown names and values outside their domain raise ValueError."""
+    unknown = sorted(set(given) - {f.name for f in fields(params)})
+    if unknown:
+        raise ValueError("unknown parameters: " + ", ".join(unknown))
+    new = {k: {**getattr(params, k), **v} if isinstance(v, dict) else v for k, v in given.items() if v is not None}
+    return checked(replace(params, **new))
+
 
 @dataclass(frozen=True)
 class CohortParams:

@@ -12,14 +12,14 @@ from ..operators.evals import ragas
 
 def write_jsonl(df: DataFrame, path: str, sort_col: str | None = None) -> int:
     """SNK-01: one JSON object per line, explicit nulls kept; returns the row count
-    (from an ``observe`` metric of the same job, no second pass)."""
+    (from an ``observe`` metric of the same job, no second pass). With ``sort_col`` the rows are
+    dealt by range and sorted (SRT-02): files in name order hold them in its order, as text for a
+    text column. The metric stands above the sort, whose sampling would count rows twice."""
     from pyspark.sql import Observation
 
     obs = Observation("rows")
-    out = df.observe(obs, F.count(F.lit(1)).alias("n"))
-    if sort_col:
-        out = out.sortWithinPartitions(sort_col)
-    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    out = df.orderBy(sort_col) if sort_col else df
+    out.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     return int(obs.get["n"])
 
 

@@ -1,6 +1,7 @@
 """JOB-01 end to end, sinks, strict scan and the streaming run mode."""
 
 import json
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortsmith.operators import guardrail
 from cohortsmith.params import GuardrailParams
 from cohortsmith.plans import jobs
-from cohortsmith.sinks.writers import write_csv
+from cohortsmith.sinks.writers import write_csv, write_jsonl
 from cohortsmith.sources.jsonl import read_patients
 from cohortsmith.streaming import guardrail_stream as ST
 
@@ -35,6 +36,14 @@ def test_generate_job(spark):
     assert scan.records.count() == 300 and scan.rejects.count() == 0
 
 
+def test_files_in_name_order_are_in_id_order(spark):
+    out = tempfile.mkdtemp(prefix="cohortsmith-sorted-")
+    n = write_jsonl(spark.range(5000).repartition(8).select(F.format_string("P%06d", "id").alias("patient_id")), out, "patient_id")
+    parts = sorted(x for x in os.listdir(out) if x.startswith("part-"))
+    ids = [json.loads(line)["patient_id"] for x in parts for line in open(os.path.join(out, x))]
+    assert n == 5000 and ids == [f"P{i:06d}" for i in range(5000)]
+
+
 def test_csv_sink(spark):
     out = tempfile.mkdtemp(prefix="cohortsmith-csv-")
     df = spark.createDataFrame([("P1", ["a", "b"], {"k": "v"})], "id string, arr array<string>, m map<string,string>")
