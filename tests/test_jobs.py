@@ -143,3 +143,18 @@ def test_event_windows_ignore_session_time_zone(spark):
         "SELECT date_trunc('day', ts), event_type, count(*) FROM '/root/testdata/sf0.001/events.parquet' "
         "GROUP BY ALL").fetchall())
     assert got == exp
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_cohorts_are_generated_by_many_tasks(spark):
+    """The key tables are a single row group each; generation from them is not one task's work."""
+    from cohortsmith.plans import cohort_queries, faults
+    from cohortsmith.sources import tables
+
+    for p in (cohort_queries.patients(spark, SF), cohort_queries.order_patients(spark, SF),
+              tables.supplier_keys(spark, SF), tables.customer_keys(spark, SF)):
+        sizes = [n for n in p.select(p.columns[0]).rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+        assert len(sizes) > 1 and max(sizes) < sum(sizes) / 2
+    assert "RoundRobinPartitioning" in faults.fault_patients(spark, SF)._jdf.queryExecution().executedPlan().toString()
