@@ -158,3 +158,21 @@ def test_cohorts_are_generated_by_many_tasks(spark):
         sizes = [n for n in p.select(p.columns[0]).rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
         assert len(sizes) > 1 and max(sizes) < sum(sizes) / 2
     assert "RoundRobinPartitioning" in faults.fault_patients(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streamed_documents_lie_in_small_files_of_whole_batches(spark, monkeypatch):
+    """Four micro-batches whatever the number of files; no file is a quarter of the table."""
+    from cohortsmith.plans import io_queries
+
+    seen = {}
+
+    def run_guardrail(spark, src, schema, records, out, files_per_trigger=1, **checks):
+        seen.update(src=src, per=files_per_trigger, schema=schema)
+
+    monkeypatch.setattr(io_queries.ST, "run_guardrail", run_guardrail)
+    io_queries._streamed_documents(spark, "/root/testdata/sf0.01")
+    docs = spark.read.schema(seen["schema"]).parquet(seen["src"])
+    per_file = docs.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("batch_id").alias("b")).collect()
+    assert max(r.n for r in per_file) < sum(r.n for r in per_file) / 4 + 1 and len(per_file) > 4
+    assert -(-len(docs.inputFiles()) // seen["per"]) <= 4
+    assert sum(len(r.b) for r in per_file) == len({b for r in per_file for b in r.b})
