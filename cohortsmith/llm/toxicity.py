@@ -55,7 +55,7 @@ SIGNIFICANT = 0.01
 BINS, BIN = 400, 0.25
 #: Lambdas among which the likeliest is taken.
 LAMBDAS = [0.05 * 1.1 ** i for i in range(48)]
-#: Groups of copies (28 bytes each) up to which their sizes are broadcast; beyond it they are joined.
+#: Labels (12 bytes each) and groups of copies (28) up to which they are broadcast; beyond it they are joined.
 BROADCAST = 300_000
 #: Words whose scores or cells a task remembers at a time.
 REMEMBERED = 500_000
@@ -87,10 +87,13 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     that starts at a lower sum. A positive word joins the nearest candidate that starts lower if that
     makes a better segment than it was, and then the one before, as often as this holds. Words that
     cost are only seen in the prefix sums."""
+    up = np.flatnonzero(scores > 0)
+    if not len(up):
+        return []
     total = np.concatenate(([0.0], np.cumsum(scores)))
     kept: list[tuple[int, int, float, float, int]] = []
-    for i in np.flatnonzero(scores > 0).tolist():
-        start, before, after = i, float(total[i]), float(total[i + 1])
+    for i, before, after in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist()):
+        start = i
         j = len(kept) - 1
         while True:
             while j >= 0 and kept[j][2] >= before:
@@ -168,7 +171,10 @@ class _Scores(dict):
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text) of the labelled documents outside the held-out fifth."""
     known = need(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return need(docs, "doc_id", "text").where(~held_out()).join(known, "doc_id").select("toxic", "text")
+    # while labels are few the texts stay where they are
+    known = stored(known, "labels")
+    side = F.broadcast(known) if known.count() <= BROADCAST else known
+    return need(docs, "doc_id", "text").where(~held_out()).join(side, "doc_id").select("toxic", "text")
 
 
 def held_out() -> F.Column:

@@ -104,3 +104,21 @@ def test_edges(spark):
 
     assert set(scores([])) == {0.0} and set(scores([(i, 1) for i in range(20)])) == {1.0}
     assert X.score(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() == []
+
+
+def test_few_labels_do_not_move_the_texts(spark, monkeypatch):
+    """Labels are broadcast up to their limit, beyond it joined; either way the same rows."""
+    from cohortsmith.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = toxicity.labelled(docs, labels)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(toxicity, "BROADCAST", 1)
+        many = toxicity.labelled(docs, labels)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(few.collect()) == sorted(many.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
